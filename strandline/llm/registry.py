@@ -6,6 +6,7 @@ import importlib
 
 MODULES = {
     "op1_token_codes": "token_codes",
+    "op3_ngram_join": "ngram_join",
     "op4_suffix_dedup": "suffix_dedup",
     "op5_exact_dedup": "exact_dedup",
     "op6_chat_tree": "chat_tree",
