@@ -150,8 +150,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return ByteConvNet(labels, seed).fit(x[order], y[order], seed=seed)
 
 
-def predict(docs: DataFrame, net: ByteConvNet | None, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 1 << 20) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row."""
+def predict(docs: DataFrame, net: ByteConvNet | None, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 1 << 20, keep: bool = False) -> DataFrame:
+    """(doc_id, lang_pred, score) of every row; with keep, every column of docs and _lang_pred, _score."""
+    if keep:
+        return _predict_beside(docs, net, text_col, slice_bytes)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     if net is None:
         return own.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
@@ -159,27 +161,53 @@ def predict(docs: DataFrame, net: ByteConvNet | None, id_col: str = "doc_id", te
     def run(batches):
         import pyarrow as pa
 
-        tables, labels = net.tables(), np.array([*net.labels, UNKNOWN], object)
-        for batch in batches:
-            raw, start, end = text_buffers(batch.column(1))
-            for i, j in slices(start, end, slice_bytes):
-                total, weight = np.zeros((j - i, len(net.labels))), np.zeros(j - i)
-                for lo in range(0, int((end[i:j] - start[i:j]).max()) + 1 if j == i + 1 else 1, slice_bytes):  # a text longer than a slice, piece by piece
-                    s = start[i:j] + lo
-                    x, of, fill = windows(raw, s, np.minimum(end[i:j], s + slice_bytes) if j == i + 1 else end[i:j])
-                    prob = probabilities(net, tables, x)
-                    w = np.maximum(fill, 1e-3)
-                    total += np.stack([np.bincount(of, prob[:, c] * w, j - i) for c in range(len(net.labels))], 1)
-                    weight += np.bincount(of, w, j - i)
-                mean = total / weight[:, None]
-                best, ok = mean.argmax(1), np.asarray(batch.column(2).slice(i, j - i))
-                score = np.where(ok, np.clip(mean[np.arange(j - i), best], 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(labels[np.where(ok, best, len(net.labels))], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+        for batch, pred, score in _scored(batches, net, 1, 2, slice_bytes):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pred, score], ["doc_id", "lang_pred", "score"])
 
     kind = own.schema["doc_id"].dataType.simpleString()
     return own.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
+def _scored(batches, net: ByteConvNet, text: int, letters: int, slice_bytes: int):
+    """Slices of the batches with the label and score of each row; text and letters are column numbers."""
+    import pyarrow as pa
+
+    tables, labels = net.tables(), np.array([*net.labels, UNKNOWN], object)
+    for batch in batches:
+        raw, start, end = text_buffers(batch.column(text))
+        for i, j in slices(start, end, slice_bytes):
+            total, weight = np.zeros((j - i, len(net.labels))), np.zeros(j - i)
+            for lo in range(0, int((end[i:j] - start[i:j]).max()) + 1 if j == i + 1 else 1, slice_bytes):  # a text longer than a slice, piece by piece
+                s = start[i:j] + lo
+                x, of, fill = windows(raw, s, np.minimum(end[i:j], s + slice_bytes) if j == i + 1 else end[i:j])
+                prob = probabilities(net, tables, x)
+                w = np.maximum(fill, 1e-3)
+                total += np.stack([np.bincount(of, prob[:, c] * w, j - i) for c in range(len(net.labels))], 1)
+                weight += np.bincount(of, w, j - i)
+            mean = total / weight[:, None]
+            best, ok = mean.argmax(1), np.asarray(batch.column(letters).slice(i, j - i))
+            score = np.where(ok, np.clip(mean[np.arange(j - i), best], 0, 1), 0.0)
+            yield batch.slice(i, j - i), pa.array(labels[np.where(ok, best, len(net.labels))], pa.string()), pa.array(score)
+
+
+def _predict_beside(docs: DataFrame, net: ByteConvNet | None, text_col: str, slice_bytes: int) -> DataFrame:
+    if net is None:
+        return docs.withColumns({"_lang_pred": F.lit(UNKNOWN), "_score": F.lit(0.0)})
+    own = docs.withColumn("_letters", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    text, letters = own.columns.index(text_col), len(own.columns) - 1
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch, pred, score in _scored(batches, net, text, letters, slice_bytes):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pred, score], [*batch.schema.names[:-1], "_lang_pred", "_score"])
+
+    from pyspark.sql.types import DoubleType, StringType, StructType
+
+    schema = StructType(docs.schema.fields).add("_lang_pred", StringType()).add("_score", DoubleType())
+    return own.mapInArrow(run, schema)
+
+
 def held_out(id_col):
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 

@@ -6,6 +6,7 @@ import importlib
 
 MODULES = {
     "op1_token_codes": "token_codes",
+    "op2_piece_sampling": "piece_sampling",
     "op3_ngram_join": "ngram_join",
     "op4_suffix_dedup": "suffix_dedup",
     "op5_exact_dedup": "exact_dedup",
