@@ -17,6 +17,7 @@ by id, then by a hash of the text; null ids come first. Empty table: empty resul
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 
@@ -28,7 +29,9 @@ from .common import buckets_for, ranges, slices, table, text_buffers, written
 
 MAGIC, VERSION, BLOCK = b"SLDA", 1, 512
 #: Bytes of text that are tokenised at a time, tokens of a shard, and words whose ids a worker remembers.
-SLICE_BYTES, SHARD_TOKENS, MEMO_WORDS = 4 << 20, 1 << 20, 400_000
+SLICE_BYTES, SHARD_TOKENS, MEMO_WORDS = 4 << 20, 1 << 20, 700_000
+#: For word-level vocabularies: a letter or digit and this punctuation are never of one word.
+CUT = r"([\pL\pN])([.,!?;:])"
 
 
 def encode_codes(ids: np.ndarray) -> bytes:
@@ -117,56 +120,66 @@ class Tokens:
     """Ids of whole texts by a tokenizer of the tokenizers library, with the ids of each word remembered.
 
     Only for tokenizers that drop white space and join nothing across it: then the ids of a text are
-    those of its words (cut at ASCII white space), which repeat, in order.
+    those of its words (cut at ASCII white space), which repeat, in order. Two more properties of the
+    tokenizer shorten the list of words: `cut` matches a place where it always ends a word (both sides
+    in groups), and `fold` says that it ignores the case of A-Z outside its special tokens, which start with `<|`.
     """
 
-    def __init__(self, path: str, memo: int = MEMO_WORDS):
+    def __init__(self, path: str, memo: int = MEMO_WORDS, cut: str | None = None, fold: bool = False):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), memo
+        self.tokenizer, self.memo, self.cut, self.fold = Tokenizer.from_file(path), memo, cut, fold
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.parts, self.starts, self.lengths, self.total = [], [], [], 0
+        self.flat, self.starts, self.lengths = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(flat ids, start and length of each word in them)."""
+    def words(self, words: list[str]) -> np.ndarray:
+        """The place of each word in starts and lengths, which point into flat."""
         if len(self.known) > self.memo:
             self.forget()
         known = self.known
         new = [w for w in words if w not in known]
         if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                ids = e.ids
-                known[w] = len(self.starts)
-                self.starts.append(self.total)
-                self.lengths.append(len(ids))
-                self.parts.append(np.array(ids, np.uint16 if not ids or max(ids) < 65536 else np.uint32))
-                self.total += len(ids)
-            self.parts = [np.concatenate(self.parts)]
-        flat = self.parts[0] if self.parts else np.zeros(0, np.uint32)
-        at = np.fromiter((known[w] for w in words), np.int64, len(words))
-        return flat, np.array(self.starts, np.int64)[at], np.array(self.lengths, np.int64)[at]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            got = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(n.sum()))
+            kind = np.uint32 if len(got) and got.max() > 65535 else np.uint16
+            known.update(zip(new, range(len(self.starts), len(self.starts) + len(new))))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(n) - n])
+            self.lengths = np.concatenate([self.lengths, n])
+            self.flat = np.concatenate([self.flat, got.astype(kind)])
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def texts(self, col, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by end_id; number of ids of each)."""
         import pyarrow.compute as pc
 
-        split = pc.ascii_split_whitespace(pc.fill_null(col, ""))
+        col = pc.fill_null(col, "")
+        if self.cut:
+            col = pc.replace_substring_regex(col, pattern=self.cut, replacement=r"\1 \2")
+        split = pc.ascii_split_whitespace(col)
         n_words = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pc.list_flatten(split).dictionary_encode()
-        flat, start, length = self.words(coded.dictionary.to_pylist())
-        of = coded.indices.to_numpy(zero_copy_only=False)
-        lengths = length[of] if len(of) else np.zeros(0, np.int64)
-        ids = flat[ranges(start[of], lengths)].astype(np.uint32) if len(of) else np.zeros(0, np.uint32)
+        words, of = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        if self.fold and len(words):
+            folded = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words)).dictionary_encode()
+            words, of = folded.dictionary, folded.indices.to_numpy(zero_copy_only=False)[of]
+        at = self.words(words.to_pylist())
+        start, lengths = (x[at][of] if len(of) else np.zeros(0, np.int64) for x in (self.starts, self.lengths))
+        ids = self.flat[ranges(start, lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         upto = ends[np.cumsum(n_words)] if len(n_words) else np.zeros(0, np.int64)
         n = np.diff(np.concatenate([[0], upto]))
-        return np.insert(ids, upto, np.uint32(end_id)), n + 1
+        out = np.full(len(ids) + len(n), end_id, np.uint32)
+        stay = np.ones(len(out), bool)
+        stay[np.cumsum(n + 1) - 1] = False
+        out[stay] = ids
+        return out, n + 1
 
 
-def _writer(path: str, end_id: int, slice_bytes: int, shard_tokens: int):
+def _writer(path: str, end_id: int, slice_bytes: int, shard_tokens: int, cut: str | None, fold: bool):
     def write(batches):
         import os
 
@@ -174,7 +187,7 @@ def _writer(path: str, end_id: int, slice_bytes: int, shard_tokens: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, tokens, base = TaskContext.get().partitionId(), Tokens(path), 0
+        part, tokens, base = TaskContext.get().partitionId(), Tokens(path, cut=cut, fold=fold), 0
         docs, counts, ids, held = [], [], [], 0
 
         def shard():
@@ -203,11 +216,11 @@ def _writer(path: str, end_id: int, slice_bytes: int, shard_tokens: int):
     return write
 
 
-def write_token_codes(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE_BYTES, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def write_token_codes(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE_BYTES, shard_tokens: int = SHARD_TOKENS, cut: str | None = None, fold: bool = False) -> DataFrame:
     """Encodes docs in ascending id order into a table of shards and returns that table, read back lazily."""
     n = buckets_for(docs.sparkSession, docs, 16 << 20)
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    shards = ordered.mapInArrow(_writer(tokenizer_path, end_id, slice_bytes, shard_tokens), "part int, base long, n_tokens long, doc_ids array<long>, counts array<long>, codes binary")
+    shards = ordered.mapInArrow(_writer(tokenizer_path, end_id, slice_bytes, shard_tokens, cut, fold), "part int, base long, n_tokens long, doc_ids array<long>, counts array<long>, codes binary")
     return written(shards, "token-codes")
 
 
@@ -236,4 +249,4 @@ def read_token_codes(shards: DataFrame) -> DataFrame:
 def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return read_token_codes(write_token_codes(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2))
+    return read_token_codes(write_token_codes(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, cut=CUT, fold=True))
