@@ -138,7 +138,7 @@ def without_inserts(cells: DataFrame) -> DataFrame:
 def match_index(columns: DataFrame) -> DataFrame:
     """Running index of match columns (from 0); null for inserts."""
     run = F.sum(F.col("is_match").cast("int")).over(Window.partitionBy("ali").orderBy("i"))
-    return columns.withColumn("m", F.when("is_match", run - 1))
+    return columns.withColumn("m", F.when(F.col("is_match"), run - 1))
 
 
 def merged(master: DataFrame, other: DataFrame) -> DataFrame:
