@@ -202,9 +202,9 @@ def _predict_beside(docs: DataFrame, net: ByteConvNet | None, text_col: str, sli
         for batch, pred, score in _scored(batches, net, text, letters, slice_bytes):
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pred, score], [*batch.schema.names[:-1], "_lang_pred", "_score"])
 
-    from pyspark.sql.types import DoubleType, StringType, StructType
+    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    schema = StructType(docs.schema.fields).add("_lang_pred", StringType()).add("_score", DoubleType())
+    schema = StructType([*docs.schema.fields, StructField("_lang_pred", StringType()), StructField("_score", DoubleType())])
     return own.mapInArrow(run, schema)
 
 
