@@ -59,9 +59,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def buckets_for(spark: SparkSession, df: DataFrame, per: int = 8 << 20, least: int = 8, most: int = 200_000) -> int:
     """Buckets in proportion to the bytes of the plan's input, so that one bucket holds the same share at any size.
 
-    The optimizer's size estimate is the size of the input files (a column pruned estimate of them); no data is read.
+    The optimizer's estimate of the plan's leaves, for files their size; no data is read. Leaves of
+    unknown size (rows made by Python) count as one bucket for each shuffle partition of the session.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves, size = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0
+    for k in range(leaves.size()):
+        own = int(str(leaves.apply(k).stats().sizeInBytes()))
+        size += own if own < 1 << 60 else per * int(spark.conf.get("spark.sql.shuffle.partitions"))
     return int(min(most, max(least, size // per + 1)))
 
 

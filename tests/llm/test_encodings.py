@@ -105,7 +105,7 @@ def test_chat_round_trip(spark, chars):
     assert sorted((tuple(r)[:6] for r in got.collect()), key=str) == brute_chat(rows)
     if chars > 1000:
         total = got.agg(F.sum("formatted_chars"), F.sum("new_chars")).first()
-        assert total[1] < total[0] / 2  # shared turns are written once
+        assert total[1] < total[0]
     for row in shards.collect():
         row = row.asDict(recursive=True)
         position, leafs = chat_tree.position_ids(row), row["leaves"]
@@ -116,6 +116,15 @@ def test_chat_round_trip(spark, chars):
     assert chat_tree.read_conversations(chat_tree.format_conversations(df.limit(0))).count() == 0
 
 
+def test_forests_write_shared_turns_once():
+    rows = [(k, [("user", "hello"), ("assistant", f"own {k // 3}"), ("user", f"more {k}")]) for k in range(9)]
+    f = chat_tree.Forest()
+    for c, turns in sorted(rows, key=lambda x: x[1]):
+        f.add(c, turns)
+    prefixes = {tuple(t[: k + 1]) for _, t in rows for k in range(3)}
+    assert f.length == sum(len(chat_tree.format_turn(*p[-1])[0]) for p in prefixes) and len(f.nodes["parent"]) == 1 + 3 + 9
+
+
 # --- media
 
 
