@@ -114,10 +114,19 @@ def cells(seqs: DataFrame, seq: str, abc: Alphabet, keys: list[str]) -> DataFram
 
 def letter_counts(text: Column, abc: Alphabet) -> Column:
     """Array of (code, n) of a text, without exploding it: letters, then any letter; aliases count as what they are read as."""
-    up = F.translate(text, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")  # other letters have no code
     by: dict[int, list[str]] = {}
     for c, k in abc.codes().items():
         if k <= abc.any:
             by.setdefault(k, []).append(c)
-    n = lambda chars: F.length(up) - F.length(F.translate(up, "".join(chars), ""))
+    cased = abc.name in ("aa", "dna")
+    both = lambda chars: list(dict.fromkeys(x for c in chars for x in ((c, c.lower()) if cased else (c,))))
+
+    def n(chars):
+        """Bytes that go when a letter, which is one byte, is taken out: scans of bytes, without patterns."""
+        gone = [F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in both(chars)]
+        total = gone[0]
+        for x in gone[1:]:
+            total = total + x
+        return total
+
     return F.array(*[F.struct(F.lit(k).alias("a"), n(c).cast("long").alias("n")) for k, c in sorted(by.items())])

@@ -8,6 +8,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def letter_totals(df: DataFrame, key: str, text: str, abc) -> DataFrame:
+    """key, a, n: letters of whole texts by key, any case; aliases count as what they are read as.
+
+    Letters are single bytes, so a batch is counted by one pass over its bytes; tasks send sums only.
+    """
+    table = [-1] * 256
+    for c, k in abc.codes().items():
+        if k <= abc.any:
+            table[ord(c)] = table[ord(c.lower())] = k
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        code, total = np.array(table), {}
+        for batch in batches:
+            keys = batch.column(0).dictionary_encode()
+            names = [*keys.dictionary.to_pylist(), None]
+            of = keys.indices.fill_null(len(names) - 1)
+            for k in np.unique(of.to_numpy(zero_copy_only=False)).tolist():
+                own = "".join(batch.column(1).filter(pc.equal(of, k)).drop_null().to_pylist()).encode()
+                n = np.bincount(np.frombuffer(own, np.uint8), minlength=256)
+                total[names[k]] = total.get(names[k], 0) + n
+        rows = [(k, a, int(n[code == a].sum())) for k, n in total.items() for a in range(abc.any + 1)]
+        names, a, n = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(names, batch_type(kind)), pa.array(a, pa.int32()), pa.array(n, pa.int64())], [key, "a", "n"])
+
+    def batch_type(name):
+        import pyarrow as pa
+
+        return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[name]
+
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, a int, n long").groupBy(key, "a").agg(F.sum("n").alias("n"))
+
+
 def kmer_length(median_length: float, size: int) -> int:
     return 1 + int(math.floor(math.log(median_length) / math.log(size) + 0.5))
 

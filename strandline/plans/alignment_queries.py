@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alphabets, scalars
 from ..functions.alphabets import AA, DNA
-from ..operators import alignments, profiles
+from ..operators import alignments, profiles, sequences
 from .catalog import query
 from .inputs import BG4, CELLS, CELLS0, EVENTS, FREQ, WEIGHTS, background, embedding_cells, event_cells, r6, table, values
 
@@ -36,8 +36,7 @@ def _count_sql() -> str:
 
 @query(_count_sql())
 def seq_encode_counts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("lang", F.explode(alphabets.letter_counts(F.coalesce("text", F.lit("")), AA)).alias("x"))
-    return d.groupBy("lang", F.col("x.a").alias("a")).agg(F.sum("x.n").alias("n"))
+    return sequences.letter_totals(table(spark, sf_dir, "documents").filter("text is not null"), "lang", "text", AA)
 
 
 @query("SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters, length(regexp_replace(text, '[ARNDCQEGHILKMFPSTWYVBZUJOXarndcqeghilkmfpstwyvbzujox\\-\\.]|\\s', '', 'g')) AS invalid FROM documents")
