@@ -97,6 +97,20 @@ def runs(raw: np.ndarray, start: np.ndarray, end: np.ndarray, length: int = LENG
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _sorted_triples(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, place) in ascending order of (a, b); all values are below most. One sort of packed words where they fit."""
+    bits = max(1, int(most).bit_length())
+    if 3 * bits <= 64:
+        x = np.sort(a.astype(U) << U(2 * bits) | b.astype(U) << U(bits) | np.arange(len(a), dtype=U))
+        mask = U((1 << bits) - 1)
+        return (x >> U(2 * bits)).astype(np.int64), (x >> U(bits) & mask).astype(np.int64), (x & mask).astype(np.int64)
+    order = np.lexsort((b, a))
+    return a[order], b[order], order
+
+
+Q_BYTES = 5
+
+
 def suffix_buckets(text: np.ndarray, end: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """Bucket pointers of the suffixes that start at the positions `at`, equal if their first `depth` bytes are.
 
@@ -104,34 +118,27 @@ def suffix_buckets(text: np.ndarray, end: np.ndarray, at: np.ndarray, depth: int
     in the order of the suffixes cut to depth bytes, so they also are a bounded suffix array.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(7, np.uint8)])
-    key = packed8(padded)
-    order = np.argsort(key, kind="stable")
-    pointer = np.empty(n, np.int64)
-    sorted_key = key[order]
+    key = packed8(np.concatenate([text, np.zeros(7, np.uint8)])) >> U(8 * (8 - Q_BYTES))
+    high, low, order = _sorted_triples(key >> U(20), key & U((1 << 20) - 1), max(n, 1 << 20))
     head = np.empty(n, bool)
-    head[:1], head[1:] = True, sorted_key[1:] != sorted_key[:-1]
+    head[:1], head[1:] = True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+    pointer = np.empty(n, np.int64)
     pointer[order] = np.flatnonzero(head)[np.cumsum(head) - 1]
-    del key, sorted_key
-    d = 8
+    d = min(Q_BYTES, depth)
     while d < depth:
         step = min(d, depth - d)
         size = np.bincount(pointer, minlength=n)
         # Whole buckets are refined, by the pointers one step later; only positions whose string goes on so far matter.
         live = np.flatnonzero((size[pointer] > 1) & (np.arange(n) + d + step <= end))
-        later = pointer[live + step]
-        order = np.lexsort((later, pointer[live]))
-        p, q = pointer[live][order], later[order]
-        head = np.empty(len(live), bool)
-        head[:1], head[1:] = True, (p[1:] != p[:-1]) | (q[1:] != q[:-1])
-        first = np.flatnonzero(head)
+        p, q, place = _sorted_triples(pointer[live], pointer[live + step], n)
         fresh = np.empty(len(live), bool)
         fresh[:1], fresh[1:] = True, p[1:] != p[:-1]
-        begin = np.flatnonzero(fresh)[np.cumsum(fresh) - 1] if len(live) else first
-        rank = p + (first[np.cumsum(head) - 1] - begin if len(live) else 0)
-        update = pointer.copy()  # pointers of this round are read by the next one only: depths stay equal
-        update[live[order]] = rank
-        pointer = update
+        head = fresh.copy()
+        head[1:] |= q[1:] != q[:-1]
+        if len(live):
+            first, begin = np.flatnonzero(head)[np.cumsum(head) - 1], np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+            # Pointers of this round are read by the next one only, so all pointers are of one depth.
+            pointer[live[place]] = p + first - begin
         d += step
     return pointer[at]
 
@@ -196,7 +203,7 @@ def _answer(t):
     return pa.table({"chunk": pa.array([x[0] for x in found], pa.int32()), "m": pa.array([x[1] for x in found], pa.binary())})
 
 
-SENT = "bucket int, chunk int, texts binary, sizes binary, ids binary, own_text binary, own_doc binary, own_at binary, done binary"
+SENT = "bucket int, chunk int, texts binary, sizes binary, ids binary, part binary, own_text binary, own_doc binary, own_at binary, done binary"
 
 
 def _send_texts(buckets: int, length: int, gram: int):
@@ -211,32 +218,58 @@ def _send_texts(buckets: int, length: int, gram: int):
             of, first, n, m = runs(raw, start, end, length, gram)
             at = np.minimum(np.searchsorted(hot, m), len(hot) - 1)
             keep = hot[at] == m
-            of, first, n, bucket = of[keep], first[keep], n[keep], (m[keep] % U(buckets)).astype(np.int64)
+            of, first, n, m = of[keep], first[keep], n[keep], m[keep]
+            bucket, part = (m % U(buckets)).astype(np.int64), (m // U(buckets) & U(0xFFFF)).astype(np.int64)
             pack = zstandard.ZstdCompressor(level=1)
             for b, own in _split(bucket, buckets):
                 own = own[np.argsort(ids[of[own]], kind="stable")]  # the first of equal texts has the smallest id
                 texts: dict[bytes, int] = {}
-                least, mine, done = [], [], []
+                least, parts, mine, done = [], [], [], []
                 a = start[of[own]] + first[own]
                 for k, lo, size in zip(own.tolist(), a.tolist(), (n[own] + length - 1).tolist(), strict=True):
                     s = raw[lo : lo + size].tobytes()
                     x = texts.setdefault(s, len(texts))
                     if x == len(least):
                         least.append(int(ids[of[k]]))
+                        parts.append(int(part[k]))
                     if ids[of[k]] == least[x]:
                         mine.append((x, int(of[k]), int(first[k])))
                     else:
                         done.append((int(of[k]), int(first[k]), int(first[k]) + size))
                 mine = np.array(mine, np.int64).reshape(-1, 3)
-                rows.append((b, pack.compress(b"".join(texts)), _pack(np.fromiter(map(len, texts), np.int64, len(texts)), np.int32), _pack(np.array(least, np.int64), np.int64), _pack(mine[:, 0], np.int32), _pack(mine[:, 1], np.int32), _pack(mine[:, 2], np.int32), _pack(np.array(done, np.int64).reshape(-1, 3), np.int32)))
+                rows.append((b, pack.compress(b"".join(texts)), _pack(np.fromiter(map(len, texts), np.int64, len(texts)), np.int32), _pack(np.array(least, np.int64), np.int64), _pack(np.array(parts, np.int64), np.uint16), _pack(mine[:, 0], np.int32), _pack(mine[:, 1], np.int32), _pack(mine[:, 2], np.int32), _pack(np.array(done, np.int64).reshape(-1, 3), np.int32)))
         chunk = t.column("chunk")[0].as_py() if t.num_rows else -1
-        cols = list(zip(*rows, strict=True)) or [()] * 8
-        names = ("texts", "sizes", "ids", "own_text", "own_doc", "own_at", "done")
+        cols = list(zip(*rows, strict=True)) or [()] * 9
+        names = ("texts", "sizes", "ids", "part", "own_text", "own_doc", "own_at", "done")
         return pa.table({"bucket": pa.array(cols[0], pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int32()), **{k: pa.array(c, pa.binary()) for k, c in zip(names, cols[1:], strict=True)}})
 
     return send
 
 
+#: Text that is sorted at a time.
+PART_BYTES = 1 << 19
+
+
+def _removed(text: np.ndarray, begin: np.ndarray, size: np.ndarray, ids: np.ndarray, name: np.ndarray, length: int):
+    """(name of the text, first byte, end) of what is removed of texts that lie at begin in text."""
+    text = text[ranges(begin, size)]
+    stop, n = np.cumsum(size), size - length + 1
+    at = ranges(stop - size, n)
+    of = np.repeat(np.arange(len(size)), n)
+    bucket = suffix_buckets(text, np.repeat(stop, size), at, length)
+    least = np.full(len(text), NO_ID, np.int64)
+    np.minimum.at(least, bucket, ids[of])
+    goes = ids[of] > least[bucket]
+    # Runs of removed window starts, none over two texts.
+    edge = np.diff(np.concatenate([[0], goes.astype(np.int8), [0]]))
+    both = np.zeros(len(goes) + 1, bool)
+    both[np.cumsum(n) - n] = True
+    both &= np.append(goes, False) & np.append(False, goes)
+    a, z = np.flatnonzero((edge == 1) | both), np.flatnonzero((edge == -1) | both) - 1
+    own = of[a]
+    return name[own], at[a] - (stop - size)[own], at[z] - (stop - size)[own] + length
+
+
 def _decide(length: int):
     def decide(t):
         import pyarrow as pa
@@ -245,25 +278,15 @@ def _decide(length: int):
         unpack = zstandard.ZstdDecompressor()
         text = np.frombuffer(b"".join(unpack.decompress(x.as_py()) for x in t.column("texts")), np.uint8)
         size, n_texts = _join(t.column("sizes"), np.int32)
-        ids, _ = _join(t.column("ids"), np.int64)
+        ids, part = _join(t.column("ids"), np.int64)[0], _join(t.column("part"), np.uint16)[0].astype(np.int64)
         size = size.astype(np.int64)
-        stop = np.cumsum(size)
-        n = size - length + 1
-        at = ranges(stop - size, n)
-        of = np.repeat(np.arange(len(size)), n)
-        bucket = suffix_buckets(text, np.repeat(stop, size), at, length)
-        least = np.full(len(text), NO_ID, np.int64)
-        np.minimum.at(least, bucket, ids[of])
-        goes = ids[of] > least[bucket]
-        # Runs of removed window starts in each text, as (first byte, end) of what they cover.
-        edge = np.diff(np.concatenate([[0], goes.astype(np.int8), [0]]))
-        new_text = np.zeros(len(goes) + 1, bool)
-        new_text[np.cumsum(n) - n] = True
-        begin = (edge == 1) | (new_text & np.append(goes, False) & np.append(False, goes))
-        finish = (edge == -1) | (new_text & np.append(goes, False) & np.append(False, goes))
-        begin, finish = np.flatnonzero(begin), np.flatnonzero(finish) - 1
-        text_of = of[begin]
-        lo, hi = at[begin] - (stop - size)[text_of], at[finish] - (stop - size)[text_of] + length
+        begin = np.cumsum(size) - size
+        # Equal windows are of one minimiser and so of one part: a bucket is sorted part by part, in bounded memory.
+        part = part * max(1, -(-len(text) // PART_BYTES)) >> 16
+        found = [_removed(text, begin[own], size[own], ids[own], own, length) for _, own in _split(part, 0)]
+        text_of, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(text_of, kind="stable")
+        text_of, lo, hi = text_of[order], lo[order], hi[order]
         first, count = np.searchsorted(text_of, np.arange(len(size))), np.bincount(text_of, minlength=len(size))
         rows, base = [], 0
         for k, (chunk, texts) in enumerate(zip(t.column("chunk").to_pylist(), n_texts.tolist(), strict=True)):
