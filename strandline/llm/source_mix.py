@@ -48,6 +48,14 @@ def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, most: floa
     return t.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("w") * ((F.col("all") - F.col("cap_sum")) / (F.col("w_all") - F.col("w_sum")))).alias("target"))
 
 
+#: A table with one row for each source is broadcast up to this many sources; beyond, the join is left to adaptive execution.
+FEW_SOURCES = 100_000
+
+
+def _small(per_source: DataFrame) -> DataFrame:
+    return F.broadcast(per_source) if per_source.count() <= FEW_SOURCES else per_source
+
+
 def pareto_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, odds_col: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken, u: copies is what the mix takes of a document.
 
@@ -59,6 +67,7 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     per = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     per = per.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     per = per.withColumn("f", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)).select(host_key(F.col("source")).alias("key"), "source_size", "target", "whole", "rest", "f")
+    per = _small(checkpointed(per))
     p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("f") * F.col("odds") / (F.lit(2.0) if odds_col else F.lit(1.0))))
     ranked = base.join(per, "key").withColumn("q", (F.col("u") / (1 - F.col("u"))) / (p / (1 - p)))
     ranked = ranked.withColumn("bucket", F.least(F.floor(F.col("q") / (1 + F.col("q")) * buckets), F.lit(buckets - 1)).cast("int"))
@@ -66,7 +75,7 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     upto = Window.partitionBy("key").orderBy("bucket")
     sums = sums.withColumn("before", F.sum("n").over(upto) - F.col("n"))
     cut = sums.filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest"))).select("key", F.col("bucket").alias("cut"), "before")
-    ranked = ranked.join(cut, "key", "left")
+    ranked = ranked.join(_small(checkpointed(cut)), "key", "left")
     within = Window.partitionBy("key").orderBy("q", "doc_id")
     edge = ranked.filter(F.col("bucket") == F.col("cut")).withColumn("extra", (F.col("before") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size") / 2 <= F.col("rest")).cast("long"))
     rest = ranked.filter(F.col("cut").isNull() | (F.col("bucket") != F.col("cut"))).withColumn("extra", ((F.col("f") > 0) & (F.col("cut").isNull() | (F.col("bucket") < F.col("cut")))).cast("long"))
