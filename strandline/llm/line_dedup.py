@@ -3,8 +3,8 @@
 For each host the pages that contain a line are counted (a page once, however often the line is on
 it) and divided by the host's page total; lines above the boilerplate ratio are dropped from the
 host's pages. Per host there are at most (mean distinct lines of a page) / ratio such lines, so they
-fit an array beside the host. Counting uses partial aggregation and both joins are plain equi-joins
-that adaptive execution may broadcast or split, so a host with a third of all pages is no single task.
+fit an array beside the host. Counting uses partial aggregation, and hosts with many pages are dealt
+out over salted keys, so a host with a third of all pages is no single task.
 
 Null texts stay null and have no lines; a null host is one host of its own. Blank lines are never
 counted nor dropped. Repeated rows count as pages of their own, unless distinct_pages is set, which
@@ -40,14 +40,25 @@ def host_key(col):
     return F.when(col.isNull(), F.lit("n")).otherwise(F.concat(F.lit("h"), col))
 
 
+#: A host with more than this share of all pages is dealt out: there are at most HOT_SHARE such hosts, so their list is small.
+HOT_SHARE, SALTS = 1000, 64
+
+
 def line_dedup(df: DataFrame, host, lines, ratio: float = RATIO, least_pages: int = LEAST_PAGES, distinct_pages: bool = False) -> DataFrame:
     """df with `_host`, `_lines` (array or null) and `_kept`, the lines that stay, in order.
 
     host and lines are columns of df; names that start with an underscore are taken by this operator.
+    Pages of hot hosts meet their host's lines under one of SALTS keys, by a hash of the row.
     """
-    own = df.withColumns({"_host": host_key(host), "_lines": lines})
+    own = df.withColumns({"_host": host_key(host), "_lines": lines, "_salt": F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")})
     drop = boilerplate(own.select(F.col("_host").alias("host"), F.coalesce("_lines", F.array().cast("array<string>")).alias("lines")), ratio, least_pages, distinct_pages).select(F.col("host").alias("_host"), F.col("drop").alias("_drop"))
-    return own.join(drop, "_host", "left").withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains(F.col("_drop"), x)))).drop("_drop")
+    total = df.count()
+    hot = F.broadcast(own.groupBy("_host").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") * HOT_SHARE > total).select("_host", F.lit(True).alias("_hot")))
+    own = own.join(hot, "_host", "left").withColumn("_salt", F.when(F.col("_hot"), F.col("_salt")).otherwise(0)).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    drop = drop.join(hot, "_host", "left").select("_host", "_drop", F.explode(every).alias("_salt"))
+    kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains(F.col("_drop"), x)))
+    return own.join(drop, ["_host", "_salt"], "left").withColumn("_kept", kept).drop("_drop", "_salt")
 
 
 def dedup_documents(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, distinct_pages: bool = True) -> DataFrame:
