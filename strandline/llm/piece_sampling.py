@@ -23,6 +23,7 @@ Repeated rows give equal samples. Null keys are allowed. Empty table: empty resu
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 
@@ -118,7 +119,7 @@ class Lattice:
                 break
             piece = pieces.end[state]
             full = piece >= 0
-            arcs.append((at[full], np.full(int(full.sum()), n), piece[full]))
+            arcs.append((at[full].astype(np.int32), np.full(int(full.sum()), n, np.int8), piece[full].astype(np.int32)))
             more = at + n < end[at]
             at, state = at[more], state[more]
         covered = np.zeros(total, bool)
@@ -126,10 +127,12 @@ class Lattice:
             covered[arcs[0][0]] = True
         bare = np.flatnonzero(~covered)
         if len(bare):
-            arcs.append((bare, np.ones(len(bare), np.int64), -1 - cp[bare]))
-        frm, n, piece = (np.concatenate(x) for x in zip(*arcs, strict=True)) if arcs else (np.zeros(0, np.int64),) * 3
-        order = np.argsort(frm, kind="stable")
+            arcs.append((bare.astype(np.int32), np.ones(len(bare), np.int8), (-1 - cp[bare]).astype(np.int32)))
+        frm, n, piece = (np.concatenate(x) for x in zip(*arcs, strict=True)) if arcs else (np.zeros(0, np.int32),) * 3
+        del arcs, at, state
+        order = np.argsort(frm, kind="stable").astype(np.int32)
         self.frm, self.n, self.piece = frm[order], n[order], piece[order]
+        del frm, n, piece, order
         self.first = np.searchsorted(self.frm, np.arange(total + 1))
         logp = np.where(self.piece >= 0, pieces.logp[np.maximum(self.piece, 0)], 0.0)
         spelt = self.piece < 0
@@ -140,8 +143,8 @@ class Lattice:
         # Backward sums, nodes in order of their distance from the word's end.
         back = np.zeros(total + 1)
         left = (end - np.arange(total)) if total else np.zeros(0, np.int64)
-        arc_left = left[self.frm]
-        by = np.argsort(arc_left, kind="stable")
+        arc_left = left[self.frm].astype(np.int32)
+        by = np.argsort(arc_left, kind="stable").astype(np.int32)
         edge = np.searchsorted(arc_left[by], np.arange(1, int(left.max()) + 2 if total else 1))
         goal = self.frm + self.n
         last = goal == end[self.frm] if total else np.zeros(0, bool)
@@ -154,11 +157,13 @@ class Lattice:
             s = np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.append(head, len(v))))), head)
             back[f[head]] = top + np.log(s)
         self.logc = logp + np.where(last, 0.0, back[goal % (total + 1)]) - back[self.frm]  # log chance of the arc at its node
-        p = np.exp(self.logc)
-        run = np.cumsum(p)
+        del logp, back, by, arc_left, goal, last
+        run = np.cumsum(np.exp(self.logc))
         self.upto = run - np.concatenate([np.zeros(1), run])[self.first[self.frm]]
         self.degree = np.diff(np.append(self.first[:total], len(self.frm)))
-        self.p = p
+
+    def p(self, arcs: np.ndarray) -> np.ndarray:
+        return np.exp(self.logc[arcs])
 
     def choose(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An arc of each node by its chance."""
@@ -190,7 +195,7 @@ class Path:
         run = np.concatenate([np.zeros(1), np.cumsum(logc)])
         base = np.repeat(run[self.first], count)
         self.before, self.total = run[:-1] - base, run[self.first + count] - run[self.first]
-        self.text = np.repeat(np.arange(len(count)), count)
+        self.text = np.repeat(np.arange(len(count), dtype=np.int32), count)
 
 
 def _walk(lattice: Lattice, node: np.ndarray, key: np.ndarray, place: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,16 +218,28 @@ def _walk(lattice: Lattice, node: np.ndarray, key: np.ndarray, place: np.ndarray
     return arcs, count
 
 
+#: Words that are sampled at a time; the lattice of their words is shared by a whole slice.
+PART_WORDS = 150_000
+
+
 def sample_slice(pieces: Pieces, texts: list[str], keys: np.ndarray, k: int):
     """For each text its samples in order: [(ids, log probability, perturbed value, inclusion score)]."""
     import pyarrow as pa
 
     units = [pieces.units(t) for t in texts]
     n_units = np.array([len(x) for x in units], np.int64)
-    flat = [w for x in units for w in x]
-    coded = pa.array(flat, pa.string()).dictionary_encode()
-    occ = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = pa.array(itertools.chain.from_iterable(units), pa.string()).dictionary_encode()
+    del units
+    occ = coded.indices.to_numpy(zero_copy_only=False)
     lattice = Lattice(pieces, coded.dictionary.to_pylist())
+    upto, out = np.cumsum(n_units), []
+    for i, j in slices(upto - n_units, upto, PART_WORDS):
+        out += _sample_part(pieces, lattice, occ[upto[i] - n_units[i] : upto[j - 1]].astype(np.int64), n_units[i:j], keys[i:j], k)
+    return out
+
+
+def _sample_part(pieces: Pieces, lattice: Lattice, occ: np.ndarray, n_units: np.ndarray, keys: np.ndarray, k: int):
+    texts = range(len(n_units))
     of_text = np.repeat(np.arange(len(texts)), n_units)
     unit_first = np.cumsum(n_units) - n_units
     place = np.arange(len(occ)) - unit_first[of_text]
@@ -231,7 +248,7 @@ def sample_slice(pieces: Pieces, texts: list[str], keys: np.ndarray, k: int):
     arcs, count = _walk(lattice, node, keys[of_text], place, 0)
     per_text = np.bincount(of_text, count, len(texts)).astype(np.int64)
     path = Path(lattice, arcs, per_text, np.repeat(np.arange(len(occ)), count))
-    phi = path.before + np.log(np.maximum(1 - lattice.p[path.arc], 1e-300))
+    phi = path.before + np.log(np.maximum(1 - lattice.p(path.arc), 1e-300))
     alone = lattice.degree[lattice.frm[path.arc]] == 1
     step = np.arange(len(arcs)) - path.first[path.text]
     rest = np.where(alone, -np.inf, _truncated(phi, root[path.text], _noise(keys[path.text], 0, step, 1)))
@@ -260,12 +277,12 @@ def sample_slice(pieces: Pieces, texts: list[str], keys: np.ndarray, k: int):
             prefix = p.arc[a : a + s]
             taken = {int(q.arc[q.first[x] + s]) for q in paths if q.count[x] > s and np.array_equal(q.arc[q.first[x] : q.first[x] + s], prefix) and lattice.frm[q.arc[q.first[x] + s]] == here}
             choices = np.array([c for c in choices.tolist() if c not in taken])
-            chance = np.cumsum(lattice.p[choices])
+            chance = np.cumsum(lattice.p(choices))
             u = float(_noise(keys[x : x + 1], r, np.array([s]), 2)[0])
             pick = int(min(np.searchsorted(chance, u * chance[-1]), len(choices) - 1))
             turn[x], turn_occ[x], turn_step[x] = choices[pick], p.occ[a + s], s
             pre_arcs[x], pre_count[x] = prefix, s
-            remain = float(chance[-1] - lattice.p[choices[pick]])
+            remain = float(chance[-1] - lattice.p(choices[pick]))
             if len(choices) > 1 and remain > 0:
                 left_phi[x] = float(p.before[a + s]) + np.log(remain)
         if not len(open_):
@@ -295,7 +312,7 @@ def sample_slice(pieces: Pieces, texts: list[str], keys: np.ndarray, k: int):
         path = Path(lattice, all_arcs, total, all_occ)
         step = np.arange(len(all_arcs)) - path.first[path.text]
         alone = lattice.degree[lattice.frm[path.arc]] == 1
-        phi = path.before + np.log(np.maximum(1 - lattice.p[path.arc], 1e-300))
+        phi = path.before + np.log(np.maximum(1 - lattice.p(path.arc), 1e-300))
         turned = first[open_] + pre_count[open_]
         phi[turned] = left_phi[open_]
         dead = alone | (step < pre_count[path.text]) | ~np.isfinite(phi)  # sets in front of the turn belong to the older path
