@@ -30,8 +30,11 @@ from .common import buckets_for, ranges, slices, table, text_buffers, written
 MAGIC, VERSION, BLOCK = b"SLDA", 1, 512
 #: Bytes of text that are tokenised at a time, tokens of a shard, and words whose ids a worker remembers.
 SLICE_BYTES, SHARD_TOKENS, MEMO_WORDS = 4 << 20, 1 << 20, 700_000
-#: For word-level vocabularies: a letter or digit and this punctuation are never of one word.
-CUT = r"([\pL\pN])([.,!?;:])"
+#: For word-level vocabularies: a letter or digit and this punctuation are never of one word. Only letters up to
+#: U+00FF, which NFC and lower case leave single letters; others may end in a mark, which goes with the punctuation.
+CUT = r"([0-9A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:])"
+#: Words that are not folded: with special tokens, or letters above U+00FF (H and a mark stay two where h and it are one).
+KEPT = r"<\||[^\x{00}-\x{FF}]"
 
 
 def encode_codes(ids: np.ndarray) -> bytes:
@@ -122,7 +125,7 @@ class Tokens:
     Only for tokenizers that drop white space and join nothing across it: then the ids of a text are
     those of its words (cut at ASCII white space), which repeat, in order. Two more properties of the
     tokenizer shorten the list of words: `cut` matches a place where it always ends a word (both sides
-    in groups), and `fold` says that it ignores the case of A-Z outside its special tokens, which start with `<|`.
+    in groups), and `fold` says that it ignores the case of A-Z in words without a match of KEPT.
     """
 
     def __init__(self, path: str, memo: int = MEMO_WORDS, cut: str | None = None, fold: bool = False):
@@ -164,7 +167,7 @@ class Tokens:
         coded = pc.list_flatten(split).dictionary_encode()
         words, of = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
         if self.fold and len(words):
-            folded = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words)).dictionary_encode()
+            folded = pc.if_else(pc.match_substring_regex(words, KEPT), words, pc.ascii_lower(words)).dictionary_encode()
             words, of = folded.dictionary, folded.indices.to_numpy(zero_copy_only=False)[of]
         at = self.words(words.to_pylist())
         start, lengths = (x[at][of] if len(of) else np.zeros(0, np.int64) for x in (self.starts, self.lengths))

@@ -68,6 +68,19 @@ def test_words_with_cuts_equal_whole_texts():
     assert ids.tolist() == list(itertools.chain.from_iterable(want)) and n.tolist() == [len(x) for x in want]
 
 
+def test_words_that_change_under_normalisation_equal_whole_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tz = Tokenizer.from_file(WORDS)
+    ends = ["GAZETES\u0130", "\u09df", "\u095c", "\ufb2a", "I\u0307", "E\u0301", "\u00c9", "\u00df", "Z9", "\u0645"]
+    texts = [e + p + rest for e in ends for p in ".,!?;:" for rest in ("", "X", "\u0301")]
+    texts += [c + m for c in "AHJTWYahjtwy" for m in map(chr, range(0x300, 0x370))]
+    ids, n = token_codes.Tokens(WORDS, cut=token_codes.CUT, fold=True).texts(pa.array(texts), 2)
+    want = [[*tz.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert ids.tolist() == list(itertools.chain.from_iterable(want)) and n.tolist() == [len(x) for x in want]
+
+
 # --- chat trees
 
 
