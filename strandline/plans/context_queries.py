@@ -171,6 +171,14 @@ def repeat_penalty(spark, sf_dir):
     return sequences.repeat_penalty(s).select("id", "pos", r6(F.col("scale")).alias("scale"))
 
 
+@query(f"""WITH {SCORES}, b AS (SELECT * FROM pp WHERE pp >= 0.02::DOUBLE), r AS (SELECT x.id, x.pos AS i, y.pos AS j, log2(sum(x.pp * y.pp / prior)) AS s FROM b x JOIN b y ON y.id = x.id AND y.k = x.k AND x.pos <> y.pos AND abs(x.pos - y.pos) <= 100 JOIN state ON state.k = x.k GROUP BY 1, 2, 3)
+SELECT id, i AS pos, round(pow(2::DOUBLE, -(0 + 0.1::DOUBLE * sqrt(sum(s)))), 6) + 0 AS scale FROM r WHERE s >= 0 GROUP BY id, i""")
+def repeat_penalty_whole(spark, sf_dir):
+    """repeat_penalty with the window and least posterior of the reference; its SQL states a narrow window."""
+    s = sequences.repeat_scores(_pp(spark, sf_dir), states(spark))
+    return sequences.repeat_penalty(s).select("id", "pos", r6(F.col("scale")).alias("scale"))
+
+
 @query(f"""WITH {SCORES}, {EVENTS.replace('ev AS', 'ev2 AS')}, pr AS (SELECT x.id, x.pos AS i, y.pos AS j FROM ev x JOIN ev y ON y.id = x.id AND y.pos = x.pos + 1)
 SELECT pp.k, ev2.a AS s, round(sum(pp.pp), 5) + 0 AS n FROM pr JOIN pp ON pp.id = pr.id AND pp.pos = pr.i JOIN ev2 ON ev2.id = pr.id AND ev2.pos = pr.j GROUP BY 1, 2""")
 def state_substitutions(spark, sf_dir):

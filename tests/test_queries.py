@@ -27,3 +27,22 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["ali", "neff"] and df.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_repeat_penalty_whole_equals_brute_force(spark, sf_dir):
+    import math
+
+    from strandline.plans.inputs import PRIOR
+
+    pp: dict = {}
+    for r in catalog.queries()["ctx_posterior"](spark, sf_dir).collect():
+        pp.setdefault(r.id, {}).setdefault(r.pos, {})[r.k] = r.pp
+    want = {}
+    for u, at in pp.items():
+        for i, x in at.items():
+            sums = [sum(p * y.get(k, 0.0) / PRIOR[k] for k, p in x.items() if p >= 0.02 and y.get(k, 0.0) >= 0.02) for j, y in at.items() if i != j and abs(i - j) <= 100]
+            scores = [math.log2(s) for s in sums if s >= 1]
+            if scores:
+                want[u, i] = 2 ** (-0.1 * math.sqrt(sum(scores)))
+    got = {(r.id, r.pos): r.scale for r in catalog.queries()["repeat_penalty_whole"](spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-4 for k, v in want.items())
