@@ -46,8 +46,8 @@ def em_step_likelihood(spark, sf_dir):
 
 @query()
 def em_fit(spark, sf_dir):
-    """Three rounds of EM; the likelihood does not fall (tested)."""
-    m, _, lls = learning.em(_windows(spark, sf_dir), model(spark).select("k", "j", "a", "p"), states(spark), background(spark), weights(spark), most=3)
+    """EM until its gain is at most the tolerance; the likelihood does not fall (tested)."""
+    m, _, lls = learning.em(_windows(spark, sf_dir).checkpoint(), model(spark).select("k", "j", "a", "p"), states(spark), background(spark), weights(spark))
     return m.withColumn("ll", F.lit(float(lls[-1])))
 
 
@@ -124,20 +124,25 @@ def _training(spark, sf_dir):
     return w.select("id", "start", F.slice("letters", 1, WIDTH).alias("x"), F.array(*[F.when(y == a, F.lit(1.0)).otherwise(F.lit(0.0)) for a in range(SIZE)]).alias("y"))
 
 
+def _parts(training):
+    """(rows to learn from, rows to validate on): a tenth of the users, by hash, is for validation."""
+    held = F.pmod(F.xxhash64("id"), F.lit(10)) == 0
+    return training.filter(~held), training.filter(held)
+
+
 @query()
 def sgd_fit(spark, sf_dir):
-    """Two epochs of block-wise ascent; the validation likelihood by epoch."""
-    t = _training(spark, sf_dir)
-    p = learning.SgdParams(blocks=2, eta=1e-4, most_epochs=2)
-    _, lls = learning.sgd(t, t, learning.Crf.gaussian(2, WIDTH, SIZE), np.array(BACKGROUND), learning.Prior(), p, ["id", "start"])
+    """Block-wise ascent until the likelihood of other users' windows calms down; that likelihood by epoch."""
+    t, v = _parts(_training(spark, sf_dir).checkpoint())
+    _, lls = learning.sgd(t, v, learning.Crf.gaussian(STATES, WIDTH, SIZE), np.array(BACKGROUND), learning.Prior(), learning.SgdParams(), ["id", "start"])
     return spark.createDataFrame(list(enumerate(map(float, lls))), "epoch int, ll double")
 
 
 @query()
 def hmc_sample(spark, sf_dir):
-    """One short trajectory of two replicas."""
-    t = _training(spark, sf_dir)
-    _, lls = learning.hmc(t, learning.Crf.gaussian(2, WIDTH, SIZE), np.array(BACKGROUND), learning.Prior(), learning.HmcParams(steps=1, leapfrog=2), replicas=2)
+    """All steps and leapfrogs of two replicas; a job each, so it takes long (see README)."""
+    t = _training(spark, sf_dir).checkpoint()
+    _, lls = learning.hmc(t, learning.Crf.gaussian(STATES, WIDTH, SIZE), np.array(BACKGROUND), learning.Prior(), learning.HmcParams(), replicas=2)
     return spark.createDataFrame(list(enumerate(map(float, lls))), "step int, ll double")
 
 
@@ -155,7 +160,7 @@ def hmm_posteriors(spark, sf_dir):
 
 @query()
 def hmm_baum_welch(spark, sf_dir):
-    h, lls = hmm.baum_welch(event_cells(spark, sf_dir), _chain(), most=3)
+    h, lls = hmm.baum_welch(event_cells(spark, sf_dir), _chain())
     return spark.createDataFrame([(i, j, float(h.move[i, j]), float(lls[-1])) for i in range(STATES) for j in range(STATES)], "src int, dst int, w double, ll double")
 
 

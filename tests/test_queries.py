@@ -46,3 +46,31 @@ def test_repeat_penalty_whole_equals_brute_force(spark, sf_dir):
                 want[u, i] = 2 ** (-0.1 * math.sqrt(sum(scores)))
     got = {(r.id, r.pos): r.scale for r in catalog.queries()["repeat_penalty_whole"](spark, sf_dir).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-4 for k, v in want.items())
+
+
+@pytest.mark.parametrize("name", ["em_fit", "sgd_fit", "hmc_sample", "hmm_baum_welch"])
+def test_fits_have_the_default_limits_and_other_rows_to_validate_on(spark, sf_dir, monkeypatch, name):
+    import inspect
+
+    from strandline.operators import hmm, learning
+
+    owner, fit = (hmm, "baum_welch") if name == "hmm_baum_welch" else (learning, name.split("_")[0])
+    shape, seen = inspect.signature(getattr(owner, fit)), {}
+
+    class Seen(Exception):
+        pass
+
+    def spy(*args, **kwargs):
+        seen.update(shape.bind(*args, **kwargs).arguments)
+        raise Seen
+
+    monkeypatch.setattr(owner, fit, spy)
+    with pytest.raises(Seen):
+        catalog.queries()[name](spark, sf_dir)
+    assert not {"most", "tolerance"} & seen.keys()
+    if name == "sgd_fit":
+        assert seen["p"] == learning.SgdParams()
+        users = [{r.id for r in seen[x].select("id").distinct().collect()} for x in ("train", "validate")]
+        assert all(users) and not users[0] & users[1]
+    elif name == "hmc_sample":
+        assert seen["p"] == learning.HmcParams()
