@@ -50,6 +50,23 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(taken, *names: str) -> list[str]:
+    """Column names made of the given ones that no taken name equals, whatever their case."""
+    used, out = {x.lower() for x in taken}, []
+    for name in names:
+        own = name
+        while own.lower() in used:
+            own = "_" + own
+        used.add(own.lower())
+        out.append(own)
+    return out
+
+
+def col(name: str):
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder; never a local one."""
     shared_dir(df.sparkSession)
@@ -83,6 +100,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def packed8(b: np.ndarray) -> np.ndarray:
+    """Big-endian value of the 8 bytes from each position."""
+    x = b.astype(U)
+    for step in (1, 2, 4):
+        x = x[:-step] << U(8 * step) | x[step:]
+    return x
+
+
 def uniform(x: np.ndarray) -> np.ndarray:
     """Hash values as numbers strictly between 0 and 1."""
     return ((x >> U(11)).astype(np.float64) + 0.5) * (1.0 / (1 << 53))

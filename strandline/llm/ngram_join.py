@@ -7,61 +7,66 @@ differ in at most D elements agree in at least 1 + e blocks (pigeonhole), so joi
 of equal blocks finds every similar pair. e is the number of empty blocks allowed for, so that an
 agreement in a block that is not empty is certain unless both sets have more empty blocks; such sets
 are rare and join on their empty blocks too. A 512-bit parity sketch of the whole set then bounds the
-symmetric difference from below by its Hamming distance, and what passes is verified on the sets.
-
-Equal sets are one class from the start. Groups of equal block sketches are not expanded to all
-pairs: first all members are compared with one hub (the member that shares most blocks with others);
-after that only pairs of a group whose members are not yet connected are compared, all of them.
+symmetric difference from below by its Hamming distance; the texts of the pairs that pass are moved,
+once, and a link is what holds for the n-grams of their words themselves, not for hashes.
+
+Equal sets (by 128 bits of identity) are one class from the start. A task sends members that agree in
+a key under one name, the list of them, so a key's list at its bucket has one entry for a batch of
+input, however large the family. Groups are not expanded to all pairs: first all members are compared
+with one hub (the member that shares most blocks with others); after that only pairs of a group whose
+members are not yet connected are compared, all of them, in square tiles of bounded size.
 So a family of near copies costs about as many comparisons as it has members, nothing is dropped,
 and the components are those of all links.
 
 Null texts, texts without words: an empty set, linked with nothing. Fewer words than n: one n-gram.
-Repeated rows and equal texts are of one class. Null ids belong to no class: component_id is null for
-a group without any id. Empty table: empty result. Extra columns are not read.
+Repeated rows and equal texts are of one class. Rows with a null id are members like all others;
+component_id is null for a component without any id. Empty table: empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U, buckets_for, mix, slices, table, text_buffers, written
+from .common import U, buckets_for, col, fresh, mix, packed8, slices, table, text_buffers, written
 from .graph import components
 
 WORDS, PERCENT, SKETCH_BITS, SLICE = 4, 85, 512, 1 << 20
 NAMED_WORDS, NAMED_PERCENT = 5, 80
+#: Keys that a task holds at a time, n-grams and pairs that are verified in one call, and members of a tile's side.
+KEYS, DEAL_GRAMS, DEAL_PAIRS, TILE = 1_000_000, 150_000, 64, 1024
+SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 
-_rng = np.random.default_rng(20)
-_BYTE = _rng.integers(1, 1 << 64, 256, dtype=U)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_UNBASE = pow(_BASE, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POWERS: list[np.ndarray] = []
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
 
 
 def word_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first byte, 64-bit hash) of the words of a buffer, A-Z lower-cased."""
-    n = len(b)
-    if not n:
+    """(first byte, 64-bit hash) of the words of a buffer, A-Z lower-cased: a mixed chain over 8 bytes at a time."""
+    if not len(b):
         return np.zeros(0, np.int64), np.zeros(0, U)
-    if not _POWERS or len(_POWERS[0]) < n + 1:
-        _POWERS[:] = [_powers(_BASE, max(n, SLICE * 2) + 1), _powers(_UNBASE, max(n, SLICE * 2) + 1)]
     word = np.concatenate([[False], ~_WHITE[b], [False]]).astype(np.int8)
     edge = np.diff(word)
     first, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    total = np.concatenate([np.zeros(1, U), np.cumsum(_BYTE[b] * _POWERS[0][:n], dtype=U)])
-    return first, mix((total[stop] - total[first]) * _POWERS[1][first] + (stop - first).astype(U))
+    low = _LOWER[b]
+    eight, size = packed8(np.concatenate([low, np.zeros(7, np.uint8)])), stop - first
+    h = mix(size.astype(U) + U(0x9E3779B97F4A7C15))
+    live, k = np.flatnonzero(size <= LONG_WORD), 0
+    while len(live):
+        left = size[live] - k
+        block = eight[first[live] + k] >> (U(8) * (8 - np.minimum(left, 8)).astype(U))
+        h[live] = mix(h[live] * U(0xD6E8FEB86659FD93) ^ block)
+        live, k = live[left > 8], k + 8
+    for w in np.flatnonzero(size > LONG_WORD).tolist():
+        h[w] = int.from_bytes(hashlib.blake2b(low[first[w] : stop[w]].tobytes(), digest_size=8).digest(), "little")
+    return first, h
 
 
 def shingle_sets(raw: np.ndarray, start: np.ndarray, end: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,10 +106,10 @@ def segments(of_value, h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def set_ids(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit identity, a second one to verify it) of each set."""
+def set_ids(h: np.ndarray, n: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """The 128 bits of identity of each set; of the first 64 only `bits` are used."""
     a, b = segments(np.add, mix(h), n), segments(np.bitwise_xor, mix(h ^ U(0x5851F42D4C957F2D)), n)
-    return mix(a + n.astype(U)), mix(b ^ mix(a))
+    return mix(a + n.astype(U)) & U((1 << bits) - 1), mix(b ^ mix(a))
 
 
 class Bands:
@@ -184,44 +189,67 @@ def _batches(batches, column: int, words: int):
             yield batch.slice(i, j - i), h, n
 
 
-def _base(words: int):
+BASE = "doc_id long, tk long, th int, n long, sid long, check long, " + ", ".join(f"{x} long" for x in SKETCH)
+
+
+def _base(words: int, bits: int):
     def run(batches):
         import pyarrow as pa
 
-        for batch, h, n in _batches(batches, 1, words):
-            a, b = set_ids(h, n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(_signed(a)), pa.array(_signed(b))], ["doc_id", "n_shingles", "sid", "check"])
+        for batch, h, n in _batches(batches, 3, words):
+            a, b = set_ids(h, n, bits)
+            sketch = parity_sketches(h, n).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n), pa.array(_signed(a)), pa.array(_signed(b)), *[pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(len(SKETCH))]], ["doc_id", "tk", "th", "n", "sid", "check", *SKETCH])
 
     return run
 
 
-def _keys(words: int, percent: int, buckets: int):
+def gathered(k: np.ndarray, s: np.ndarray, buckets: int) -> list[tuple]:
+    """Rows (bucket, keys, names, list name) of the keys k of the sets s.
+
+    Sets that agree in a key are sent under one name, that of their list; a list is a row of its own.
+    """
+    b = k % U(buckets)
+    order = np.lexsort((s, k, b))
+    k, s, b = k[order], s[order], b[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
+    k, s, b = k[new], s[new], b[new]
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    size = np.diff(np.append(first, len(k)))
+    name = np.where(size > 1, mix(np.add.reduceat(mix(s), first) + size.astype(U) * U(0xC2B2AE3D27D4EB4F)), s[first])
+    rows: list[tuple] = []
+    many = np.flatnonzero(size > 1)
+    lists, at = np.unique(name[many], return_index=True)
+    for x, g in zip(lists.tolist(), many[at].tolist(), strict=True):
+        rows.append((x % buckets, None, s[first[g] : first[g] + size[g]].tobytes(), int(U(x).view(np.int64))))
+    k, b = (k[first] >> U(32)).astype(np.uint32), b[first]
+    at = np.append(np.flatnonzero(np.append(True, b[1:] != b[:-1])), len(b))
+    rows += [(int(b[x]), k[x:y].tobytes(), name[x:y].tobytes(), None) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return rows
+
+
+def _keys(words: int, percent: int, buckets: int, bits: int):
     def run(batches):
         import pyarrow as pa
 
-        bands, seen = Bands(percent), set()
-        held_k, held_s, held = [], [], 0
+        bands, held_k, held_s, held = Bands(percent), [], [], 0
 
         def packed():
-            k, s = np.concatenate(held_k), np.concatenate(held_s)
-            b = (k % U(buckets)).astype(np.int64)
-            order = np.lexsort((k, b))
-            k, s, b = (k[order] >> U(32)).astype(np.uint32), s[order], b[order]
-            at = np.append(np.flatnonzero(np.append(True, b[1:] != b[:-1])), len(b))
-            rows = [(int(b[x]), k[x:y].tobytes(), s[x:y].tobytes()) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "k", "s"])
+            rows = gathered(np.concatenate(held_k), np.concatenate(held_s), buckets)
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "k", "s", "list"])
 
         for _, h, n in _batches(batches, 0, words):
-            sid, _ = set_ids(h, n)
-            new = np.array([x not in seen and not seen.add(x) for x in sid.tolist()], bool)  # a set once a task
-            if len(seen) > 2_000_000:
-                seen.clear()
-            keys, of = block_keys(h[np.repeat(new, n)], n[new], bands)
+            sid, check = set_ids(h, n, bits)
+            once = np.zeros(len(n), bool)
+            once[np.unique(sid + mix(check), return_index=True)[1]] = True  # a set once a slice
+            keys, of = block_keys(h[np.repeat(once, n)], n[once], bands)
             if len(keys):
                 held_k.append(keys)
-                held_s.append(sid[new][of])
+                held_s.append(sid[once][of])
                 held += len(keys)
-            if held >= 4_000_000:
+            if held >= KEYS:
                 yield packed()
                 held_k, held_s, held = [], [], 0
         if held:
@@ -231,110 +259,119 @@ def _keys(words: int, percent: int, buckets: int):
 
 
 def _groups(t):
-    """Members of the equal keys of a bucket, lists that say the same once, with how many keys say so."""
+    """Of a bucket: groups (names of equal keys), those that say the same once with how many keys say so, and lists."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    k = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in t.column("k")])
-    s = np.concatenate([np.frombuffer(x.as_py(), U) for x in t.column("s")])
-    order = np.argsort(k, kind="stable")
-    ks = k[order]
-    first = np.flatnonzero(np.append(True, ks[1:] != ks[:-1]))
-    size = np.diff(np.append(first, len(ks)))
-    keep = np.repeat(size > 1, size)
-    k, s = ks[keep], s[order][keep]
-    order = np.lexsort((s, k))
-    k, s = k[order], s[order]
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
-    k, s = k[new], s[new]
-    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(k)))
+    keyed, lists = t.filter(pc.is_valid(t.column("k"))), t.filter(pc.is_null(t.column("k")))
     found: dict[bytes, int] = {}
-    for a, n in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-        x = s[a : a + n].tobytes()
-        found[x] = found.get(x, 0) + 1
-    return pa.table({"members": pa.array([np.frombuffer(x, np.int64) for x in found], pa.list_(pa.int64())), "said": pa.array(list(found.values()), pa.int64())})
-
-
-def _sets(words: int):
-    def run(batches):
-        import pyarrow as pa
-
-        for _, h, n in _batches(batches, 0, words):
-            sid, _ = set_ids(h, n)
-            ends = np.cumsum(n)
-            blobs = [h[a:z].tobytes() for a, z in zip((ends - n).tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(sid)), pa.array(n), pa.array([x.tobytes() for x in parity_sketches(h, n)], pa.binary()), pa.array(blobs, pa.binary())], ["sid", "n", "sketch", "hashes"])
-
-    return run
-
-
-def _verify(percent: int):
-    def verify(hub, others):
+    if keyed.num_rows:
+        k = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in keyed.column("k")])
+        s = np.concatenate([np.frombuffer(x.as_py(), U) for x in keyed.column("s")])
+        order = np.argsort(k, kind="stable")
+        ks = k[order]
+        first = np.flatnonzero(np.append(True, ks[1:] != ks[:-1]))
+        size = np.diff(np.append(first, len(ks)))
+        keep = np.repeat(size > 1, size)
+        k, s = ks[keep], s[order][keep]
+        order = np.lexsort((s, k))
+        k, s = k[order], s[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
+        k, s = k[new], s[new]
+        first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(k)))
+        for a, n in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+            x = s[a : a + n].tobytes()
+            found[x] = found.get(x, 0) + 1
+    own = set(zip(lists.column("list").to_pylist(), lists.column("s").to_pylist(), strict=True))
+    names = [None] * len(found) + [x[0] for x in own]
+    members = [np.frombuffer(x, np.int64) for x in [*found, *(x[1] for x in own)]]
+    return pa.table({"list": pa.array(names, pa.int64()), "members": pa.array(members, pa.list_(pa.int64())), "said": pa.array([*found.values(), *[1] * len(own)], pa.int64())})
+
+
+def exact_grams(words, bounds: np.ndarray, n: int) -> list[np.ndarray]:
+    """The distinct n-grams of each text as numbers that are equal only if their words are; none for texts of fewer words."""
+    g = np.asarray(words, np.int64)
+    for k in range(1, n):
+        g = np.unique(g[: len(g) - 1] << 32 | words[k : k + len(g) - 1], return_inverse=True)[1].astype(np.int64) if len(g) > 1 else g[:0]
+    return [np.unique(g[lo : max(lo, hi - n + 1)]) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+def _verify(words: int, percent: int):
+    """From a hub's text (b is null) and those of others: the links among them."""
+
+    def verify(t):
         import pyarrow as pa
-
-        if not hub.num_rows or not others.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        own = np.frombuffer(hub.column("hashes")[0].as_py(), U)
-        a, out = hub.column("a")[0].as_py(), []
-        for b, blob in zip(others.column("b").to_pylist(), others.column("own"), strict=True):
-            x = np.frombuffer(blob.as_py(), U)
-            both = int((own[np.minimum(np.searchsorted(own, x), len(own) - 1)] == x).sum())
-            if 100 * both >= percent * (len(own) + len(x) - both):
-                out.append(b)
-        return pa.table({"a": pa.array([a] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
+        import pyarrow.compute as pc
+
+        split = pc.ascii_split_whitespace(pc.ascii_lower(t.column("text").combine_chunks()))
+        coded = pc.list_flatten(split).dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        real = np.append(np.asarray(pc.not_equal(coded.dictionary, ""), bool), True)[code]
+        upto = np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])]
+        sets = exact_grams(code[real], upto, words)
+        b = t.column("b").to_pylist()
+        own = next((sets[k] for k, x in enumerate(b) if x is None), np.zeros(0, np.int64))
+        out = []
+        for x, g in zip(b, sets, strict=True):
+            if x is not None and len(own) and len(g):
+                both = int((own[np.minimum(np.searchsorted(own, g), len(own) - 1)] == g).sum())
+                if 100 * both >= percent * (len(own) + len(g) - both):
+                    out.append(x)
+        return pa.table({"a": pa.array(t.column("a").to_pylist()[:1] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
 
     return verify
 
 
-#: Members compared with one hub in one task; a hub of more is dealt out over several.
-DEAL = 2000
-
+def _allowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that sizes and sketches allow, with the rows that hold their texts."""
+    p = pairs
+    for x in ("a", "b"):
+        p = p.join(classes.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "tk", "th", *SKETCH)]), x)
+    far = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SKETCH[1:]), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
+    p = p.filter(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent).filter(far <= F.floor((F.col("a_n") + F.col("b_n")) * (100 - percent) / (100 + percent)))
+    return p.select("a", "a_tk", "a_th", "b", "b_n", "b_tk", "b_th")
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links. Only pairs that sketches allow move their sets."""
-    light = sets.select("sid", "n", "sketch")
-    p = pairs.join(light.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(light.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-    p = p.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).filter(_hamming(F.col("sa"), F.col("sb")) <= F.floor((F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent)))
-    p = written(p.select("a", "b"), "pairs")
-    many = p.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / DEAL).alias("tasks")).filter("tasks > 1")
-    p = p.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("tasks", F.lit(1))).cast("int").alias("deal"))
-    hubs = p.select("a", "deal").distinct().join(sets.select(F.col("sid").alias("a"), "hashes"), "a")
-    others = p.join(sets.select(F.col("sid").alias("b"), "hashes"), "b").select("a", "deal", "b", "hashes").toDF("hub", "part", "b", "own")
-    return hubs.groupBy("a", "deal").cogroup(others.groupBy("hub", "part")).applyInArrow(_verify(percent), "a long, b long")
 
+def verified(pairs: DataFrame, classes: DataFrame, own: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links. Only texts of pairs that sketches allow are moved to each other, b's to a's.
 
-def _hamming(a, b):
-    """Hamming distance of two binary values of SKETCH_BITS bits, by words of 60 bits of their hexadecimal digits."""
-    digits = SKETCH_BITS // 4
-    word = lambda x, i: F.conv(F.substring(F.hex(x), i + 1, min(15, digits - i)), 16, 10).cast("long")
-    parts = [F.bit_count(word(a, i).bitwiseXOR(word(b, i))) for i in range(0, digits, 15)]
-    total = parts[0]
-    for x in parts[1:]:
-        total = total + x
-    return total
+    A hub with many partners is dealt out by their number and size. The rows that are asked for grow with
+    the input, so they are never broadcast; they are the hashed side of the join, and texts are not sorted.
+    """
+    p = written(_allowed(pairs, classes, percent), "pairs")
+    tasks = F.greatest(F.ceil(F.count(F.lit(1)) / DEAL_PAIRS), F.ceil(F.sum("b_n") / DEAL_GRAMS))
+    p = p.join(p.groupBy("a").agg(tasks.alias("tasks")), "a").withColumn("deal", F.pmod(F.xxhash64("b"), "tasks").cast("int"))
+    hubs = p.select(F.col("a_tk").alias("tk"), F.col("a_th").alias("th"), "a", "deal", F.lit(None).cast("long").alias("b")).distinct()
+    wanted = hubs.unionByName(p.select(F.col("b_tk").alias("tk"), F.col("b_th").alias("th"), "a", "deal", "b"))
+    texts = own.select("tk", "th", "text").join(wanted.hint("shuffle_hash"), ["tk", "th"]).dropDuplicates(["tk", "th", "a", "deal", "b"])
+    return texts.select("a", "deal", "b", "text").groupBy("a", "deal").applyInArrow(_verify(words, percent), "a long, b long")
 
 
 def _cross(percent: int):
-    """All pairs of a group in different components that sizes and sketches leave possible, by tiles."""
+    """Pairs of a tile, one member of each side, in different components, that sizes and sketches leave possible."""
 
     def cross(t):
         import pyarrow as pa
 
-        sid, comp, n = t.column("sid").to_numpy(), t.column("component").to_numpy(), t.column("n").to_numpy()
-        bits = np.frombuffer(b"".join(x.as_py() for x in t.column("sketch")), np.uint8).reshape(len(sid), -1).view(U)
-        order = np.argsort(n, kind="stable")
-        sid, comp, n, bits = sid[order], comp[order], n[order], bits[order]
-        upto = np.searchsorted(n * percent, n * 100, "right")
+        node, comp, n, tile = (t.column(c).to_numpy() for c in ("node", "component", "n", "tile"))
+        bits = np.stack([t.column(c).to_numpy() for c in SKETCH], 1).view(U)
+        left, right = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        rows, others = np.flatnonzero(tile == left), np.flatnonzero(tile == right)
+        others = others[np.argsort(n[others], kind="stable")]
+        low, high = np.searchsorted(n[others] * 100, n[rows] * percent, "left"), np.searchsorted(n[others] * percent, n[rows] * 100, "right")
         out_a, out_b = [], []
-        for i in range(len(sid)):
-            j = np.arange(i + 1, int(upto[i]))
-            j = j[comp[j] != comp[i]]
+        for x, lo, hi in zip(rows.tolist(), low.tolist(), high.tolist(), strict=True):
+            j = others[lo:hi]
+            j = j[comp[j] != comp[x]]
+            if left == right:
+                j = j[node[j] > node[x]]
             if len(j):
-                d = np.bitwise_count(bits[j] ^ bits[i]).sum(1)
-                j = j[d <= (n[j] + n[i]) * (100 - percent) // (100 + percent)]
-                out_a.append(np.full(len(j), sid[i]))
-                out_b.append(sid[j])
+                d = np.bitwise_count(bits[j] ^ bits[x]).sum(1)
+                j = j[d <= (n[j] + n[x]) * (100 - percent) // (100 + percent)]
+                out_a.append(np.full(len(j), node[x]))
+                out_b.append(node[j])
         a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
         b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
         return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
@@ -342,57 +379,90 @@ def _cross(percent: int):
     return cross
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NAMED_WORDS, percent: int = NAMED_PERCENT) -> DataFrame:
+def _unconnected(member: DataFrame, label: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Possible pairs of groups whose members are in several components; a member meets each tile of its group once."""
+    known = member.join(label, "node")
+    mixed = known.groupBy("gid").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("c"), F.max("component").alias("d")).filter("c != d")
+    rows = known.join(mixed.select("gid", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "gid").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+    rows = rows.join(classes.select("node", "n", *SKETCH), "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("gid", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "node", "component", "n", *SKETCH)
+    return rows.groupBy("gid", "i", "j").applyInArrow(_cross(percent), "a long, b long").distinct()
+
+
+def _pair(a: str, b: str) -> list:
+    return [F.least(a, b).alias("x"), F.greatest(a, b).alias("y")]
+
+
+def _row_keys(id_col: str, text_col: str) -> list:
+    """96 bits that rows share only if id and text are the same."""
+    return [F.xxhash64(col(id_col).cast("long"), col(text_col)), F.hash(col(text_col), col(id_col).cast("long"))]
+
+
+def _members(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, bits: int) -> DataFrame:
+    """One row per input row: doc_id, tk and th (its row keys), n, and component (a class of its component, null for empty sets)."""
+    tk, th = _row_keys(id_col, text_col)
+    own = docs.select(col(id_col).cast("long").alias("doc_id"), tk.alias("tk"), th.alias("th"), col(text_col).alias("text"))
+    base = written(own.mapInArrow(_base(words, bits), BASE).withColumn("row", F.monotonically_increasing_id()), "sets")
+    some = base.filter("n > 0")
+    classes = some.groupBy("sid", "check").agg(F.min("row").alias("node"), F.min_by(F.struct("tk", "th"), "row").alias("at"), *[F.first(c).alias(c) for c in ("n", *SKETCH)])
+    classes = written(classes.select("sid", "check", "node", "at.*", "n", *SKETCH), "classes")
+    buckets = buckets_for(docs.sparkSession, docs, 8 << 20, 12)
+    keys = own.select("text").mapInArrow(_keys(words, percent, buckets, bits), "bucket int, k binary, s binary, list long")
+    found = written(keys.groupBy("bucket").applyInArrow(_groups, "list long, members array<long>, said long"), "groups")
+    lists = found.filter("list is not null").select("list", F.explode("members").alias("sid")).distinct()
+    groups = found.filter("list is null").groupBy(F.xxhash64("members").alias("gid"), "members").agg(F.sum("said").alias("said")).select("gid", "said", F.explode("members").alias("name"))
+    # A name is a set's or a list's; what is both counts as both, which only adds pairs to verify.
+    member = groups.select("gid", "said", F.col("name").alias("sid")).unionByName(groups.join(lists.withColumnRenamed("list", "name"), "name").select("gid", "said", "sid")).unionByName(lists.select(F.col("list").alias("gid"), F.lit(1).cast("long").alias("said"), "sid"))
+    member = written(member.join(classes.select("sid", "node"), "sid").groupBy("gid", "node").agg(F.max("said").alias("said")), "members")
+    sizes = member.groupBy("gid").agg(F.count(F.lit(1)).alias("size"))
+    weight = member.join(sizes, "gid").groupBy("node").agg(F.sum(F.col("said") * F.col("size")).alias("weight"))
+    hub = member.join(weight, "node").groupBy("gid").agg(F.max_by("node", F.struct("weight", F.xxhash64("node"))).alias("hub"))
+    stars = written(member.join(hub, "gid").filter("hub != node").select("hub", *_pair("hub", "node")).groupBy("x", "y").agg(F.min("hub").alias("a")).select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b")), "stars")
+    links = written(verified(stars, classes, own, words, percent), "links")
+    label = written(_labels(links, classes), "labels")
+    rest = _unconnected(member, label, classes, percent).join(stars.select(*_pair("a", "b")).toDF("a", "b"), ["a", "b"], "left_anti")
+    rest = written(rest, "rest")
+    if not rest.isEmpty():
+        more = written(verified(rest, classes, own, words, percent), "links")
+        if not more.isEmpty():
+            label = written(_labels(links.unionByName(more), classes), "labels")
+    named = classes.select("sid", "check", "node").join(label, "node").select("sid", "check", "component")
+    full = some.join(named, ["sid", "check"]).select("doc_id", "tk", "th", "n", "component")
+    return full.unionByName(base.filter("n = 0").select("doc_id", "tk", "th", "n", F.lit(None).cast("long").alias("component")))
+
+
+def _labels(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, component) of every class."""
+    return classes.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NAMED_WORDS, percent: int = NAMED_PERCENT, id_bits: int = 64) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id reachable by links).
 
     Two documents link if 100 * intersection >= percent * union of their sets of word n-grams.
+    id_bits: bits of a set's short name, of the 128 of its identity; fewer only make more candidates.
     """
-    spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = written(own.mapInArrow(_base(words), "doc_id long, n_shingles long, sid long, check long"), "sets")
-    classes = base.filter("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("check").alias("c"), F.max("check").alias("d"))
-    if not classes.filter("c != d").isEmpty():
-        raise RuntimeError("two sets share a 64-bit identity")
-    buckets = buckets_for(spark, docs, 8 << 20, 12, 20_000)
-    keys = own.select("text").mapInArrow(_keys(words, percent, buckets), "bucket int, k binary, s binary")
-    groups = keys.groupBy("bucket").applyInArrow(_groups, "members array<long>, said long")
-    groups = written(groups.groupBy(F.xxhash64("members").alias("gid"), "members").agg(F.sum("said").alias("said")), "groups")
-    member = groups.select("gid", "said", F.size("members").alias("size"), F.explode("members").alias("sid"))
-    weight = member.groupBy("sid").agg(F.sum(F.col("said") * F.col("size")).alias("weight"))
-    chosen = classes.join(weight.select("sid"), "sid", "left_semi").select(F.col("least").alias("doc_id")).distinct()
-    some = own.join(chosen, "doc_id", "left_semi").select("text")
-    sets = written(some.mapInArrow(_sets(words), "sid long, n long, sketch binary, hashes binary").dropDuplicates(["sid"]), "hashes")
-    hub = member.join(weight, "sid").groupBy("gid").agg(F.max_by("sid", F.struct("weight", F.xxhash64("sid"))).alias("hub"))
-    stars = groups.join(hub, "gid").select("hub", F.explode("members").alias("b")).filter("hub != b").select(F.least("hub", "b").alias("x"), F.greatest("hub", "b").alias("y"), "hub").groupBy("x", "y").agg(F.min("hub").alias("a")).select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
-    links = written(verified(stars, sets, percent), "links")
-    label = _labels(links, weight)
-    mixed = member.join(label, "sid").groupBy("gid").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c != d").select("gid")
-    rest = member.join(mixed, "gid", "left_semi").join(label, "sid").join(sets.select("sid", "n", "sketch"), "sid").groupBy("gid").applyInArrow(_cross(percent), "a long, b long").distinct()
-    tried = written(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "tried")
-    more = written(verified(rest.join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
-    if not more.isEmpty():
-        label = _labels(links.unionByName(more), weight)
-    label = written(label, "labels")
-    least = classes.join(label, "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("component"))
-    first = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = least.join(first, "component").select("sid", "component_id")
-    full = base.filter("n_shingles > 0").join(named, "sid").select("doc_id", "n_shingles", "component_id")
-    return full.unionByName(base.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-
-
-def _labels(links: DataFrame, weight: DataFrame) -> DataFrame:
-    """(sid, component) of every member of a group."""
-    found = components(links)
-    return weight.select("sid").join(found.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("component", "sid").alias("component"))
+    rows = _members(docs, id_col, text_col, words, percent, id_bits)
+    some = rows.filter("n > 0")
+    least = some.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    full = some.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return full.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NAMED_WORDS, percent: int = NAMED_PERCENT) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest id, of equal rows one.
+    """The rows of docs that stay: all rows with empty sets, and of each component one row.
 
-    Rows without an id are no member of a class and stay.
+    That is the row with the smallest id (a null is the largest); of several, the one whose row keys, then whose
+    other columns' hash, is the smallest. Rows are told apart by id and text, so different texts under one id are not confused.
     """
-    keep = ngram_join(docs, id_col, text_col, words, percent).filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.filter(F.col(id_col).isNotNull()).join(keep, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+    tk, th, turn, one, other = fresh(docs.columns, "tk", "th", "turn", "one", "other")
+    rows = written(_members(docs, id_col, text_col, words, percent, 64), "near")
+    best = rows.filter("n > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "tk", "th")).alias("x")).select("x.tk", "x.th", F.lit(True).alias("one"))
+    stay = rows.filter("n = 0").select("tk", "th", F.lit(False).alias("one")).distinct().unionByName(best).toDF(tk, th, one)
+    own = docs.withColumns(dict(zip([tk, th, other], [*_row_keys(id_col, text_col), F.xxhash64(*map(col, docs.columns))], strict=True)))
+    got = own.join(stay.hint("shuffle_hash"), [tk, th])
+    first = Window.partitionBy(tk, th).orderBy(other)
+    return got.withColumn(turn, F.row_number().over(first)).filter(~F.col(one) | (F.col(turn) == 1)).select(*map(col, docs.columns))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

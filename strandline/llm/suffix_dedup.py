@@ -28,20 +28,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, buckets_for, mix, ranges, table, text_buffers
+from .common import U, buckets_for, mix, packed8, ranges, table, text_buffers
 
 LENGTH, GRAM, PIECE = 50, 20, 1 << 18
 NO_ID = (1 << 63) - 1
 
 
-def packed8(b: np.ndarray) -> np.ndarray:
-    """Big-endian value of the 8 bytes from each position."""
-    x = b.astype(U)
-    for step in (1, 2, 4):
-        x = x[:-step] << U(8 * step) | x[step:]
-    return x
-
-
 def minimisers(b: np.ndarray, length: int, gram: int) -> np.ndarray:
     """For each window start the smallest hash of the grams of its window."""
     x = packed8(b)

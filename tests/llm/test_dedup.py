@@ -57,28 +57,17 @@ def test_chunk_collisions_are_found_and_separated(spark):
 # --- n-gram join
 
 
-def brute_join(rows, words, percent):
-    sets = []
-    for _, t in rows:
-        w = re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()))
-        sets.append({tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set()))
-    root = list(range(len(rows)))
+def shingles(t, words):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()))
+    return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    for i in range(len(rows)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if both and 100 * both >= percent * len(sets[i] | sets[j]):
-                root[find(i)] = find(j)
-    least = defaultdict(list)
+def brute_join(rows, words, percent):
+    comp, least = brute_components(rows, words, percent), defaultdict(list)
     for i, (d, _) in enumerate(rows):
         if d is not None:
-            least[find(i)].append(d)
-    return sorted([(d, len(sets[i]), min(least[find(i)], default=None) if sets[i] else d) for i, (d, _) in enumerate(rows)], key=str)
+            least[comp[i]].append(d)
+    return sorted([(d, len(shingles(t, words)), d if comp[i] is None else min(least[comp[i]], default=None)) for i, (d, t) in enumerate(rows)], key=str)
 
 
 @pytest.mark.parametrize(("words", "percent"), [(4, 85), (5, 80)])
@@ -107,13 +96,107 @@ def test_ngram_join_of_nothing(spark):
     assert ngram_join.keep_one(empty(spark)).count() == 0
 
 
+def kept_rows(rows, words=5, percent=80):
+    """Rows without words, and of each component the row with the smallest id, as a multiset of (id, text) without what ties leave open."""
+    comp = brute_components(rows, words, percent)
+    groups = defaultdict(list)
+    for k, (i, t) in enumerate(rows):
+        groups[comp[k]].append((i, t))
+    out = []
+    for c, members in groups.items():
+        out += members if c is None else [(min(members, key=lambda r: key(r[0]))[0], None)]
+    return out
+
+
+def brute_components(rows, words, percent):
+    sets = [shingles(t, words) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    return [find(i) if sets[i] else None for i in range(len(rows))]
+
+
 def test_keep_one_keeps_clean_rows(spark):
     df = documents(spark)
-    rows = pairs(df)
-    want = {d for d, _, c in brute_join(rows, 5, 80) if d == c and d is not None}
-    got = [r.doc_id for r in ngram_join.keep_one(df).collect()]
-    assert sorted(x for x in got if x is not None) == sorted(want) and got.count(None) == 1
-    assert ngram_join.keep_one(df).columns == df.columns
+    want = kept_rows(pairs(df))
+    got = pairs(ngram_join.keep_one(df))
+    assert sorted((r[0] for r in got), key=key) == sorted((r[0] for r in want), key=key)
+    assert {r for r in want if r[1] is not None} <= set(got) and ngram_join.keep_one(df).columns == df.columns
+
+
+def test_keep_one_tells_rows_apart_by_text(spark):
+    """Different texts under one id stay both; copies under null ids go; repeated rows leave one; columns may have any name."""
+    a, b, c = "alpha beta gamma delta eps zeta", "one two three four five six", "red green blue white black grey"
+    rows = [(1, a, 1, 1, 1), (1, b, 2, 2, 2), (2, c, 3, 3, 3), (2, c, 3, 3, 3), (None, c, 4, 4, 4), (None, "x y z v w u", 5, 5, 5), (None, "x y z v w u", 6, 6, 6), (3, None, 7, 7, 7), (3, "", 8, 8, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tk int, `th` int, `one.two` int")
+    got = ngram_join.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted([(r[0], r[1]) for r in got.collect()], key=str) == sorted([(1, a), (1, b), (2, c), (None, "x y z v w u"), (3, None), (3, "")], key=str)
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+
+
+def test_unlike_long_words_do_not_link(spark):
+    """Words that any polynomial modulo 2**64 confuses: the sequence of Thue and Morse and its complement."""
+    w = thue_morse(2048)
+    rows = [(0, w), (1, w.translate(str.maketrans("ab", "ba"))), (2, w.upper()), (3, w[:100]), (4, w[:100].translate(str.maketrans("ab", "ba")))]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), words=4, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4}
+
+
+def test_ngram_join_with_colliding_names(spark):
+    """With two bits of a name nearly all sets share theirs with others."""
+    df = documents(spark, n=30)
+    got = sorted(map(tuple, ngram_join.ngram_join(df, words=4, percent=85, id_bits=2).collect()), key=str)
+    assert got == brute_join(pairs(df), 4, 85)
+
+
+def test_members_of_a_key_are_sent_under_one_name():
+    rng = np.random.default_rng(4)
+    k, s = rng.integers(0, 1 << 62, 500).astype(np.uint64), rng.integers(0, 1 << 62, 500).astype(np.uint64)
+    k[:300] = k[0]
+    s[300:310] = s[0]
+    rows = ngram_join.gathered(np.concatenate([k, k[:50]]), np.concatenate([s, s[:50]]), 7)
+    lists = {r[3]: set(np.frombuffer(r[2], np.uint64).tolist()) for r in rows if r[1] is None}
+    assert list(lists.values()) == [set(s[:300].tolist())]
+    names = np.concatenate([np.frombuffer(r[2], np.int64) for r in rows if r[1] is not None])
+    assert len(names) == 201 and next(iter(lists)) in names.tolist()
+
+
+def test_exact_grams_are_the_grams_of_words():
+    r = random.Random(3)
+    texts = [[r.randint(0, 3) for _ in range(r.randint(0, 12))] for _ in range(40)]
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = ngram_join.exact_grams(np.array(sum(texts, []), np.int64), bounds, 3)
+    want = [{tuple(t[i : i + 3]) for i in range(len(t) - 2)} for t in texts]
+    for i in range(40):
+        for j in range(40):
+            assert len(np.intersect1d(got[i], got[j])) == len(want[i] & want[j])
+
+
+def test_groups_of_several_tiles(spark, monkeypatch):
+    """All pairs of a group come from its tiles, each once."""
+    monkeypatch.setattr(ngram_join, "TILE", 7)
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 62, 20).astype(np.uint64)) for _ in range(40)]
+    bits = ngram_join.parity_sketches(np.concatenate(sets), np.full(40, 20)).view(np.int64)
+    schema = "node long, n long, " + ", ".join(f"{c} long" for c in ngram_join.SKETCH)
+    classes = spark.createDataFrame([(k, 20, *bits[k // 2].tolist()) for k in range(40)], schema)
+    member = spark.createDataFrame([(9, k, 1) for k in range(40)], "gid long, node long, said long")
+    label = spark.createDataFrame([(k, k) for k in range(40)], "node long, component long")
+    got = ngram_join._unconnected(member, label, classes, 85).collect()
+    assert {(k, k + 1) for k in range(0, 40, 2)} <= {tuple(r) for r in got} and all(r.a < r.b for r in got)
 
 
 def test_similar_sets_share_a_block():
