@@ -47,7 +47,7 @@ def test_token_table_equals_the_tokenizer(spark):
     df = documents(spark)
     tz = Tokenizer.from_file(WORDS)
     rows = pairs(df)
-    got = token_codes.read_token_codes(token_codes.write_token_codes(df, WORDS, 2, shard_tokens=500, slice_bytes=2000, cut=token_codes.CUT, fold=True)).collect()
+    got = token_codes.read_token_codes(token_codes.write_token_codes(df, WORDS, 2, shard_tokens=500, slice_bytes=2000)).collect()
     want = sorted((str(d), len(i) + 1, zlib.crc32(np.array([*i, 2], "<u4").tobytes())) for (d, _), i in zip(rows, [tz.encode(t or "", add_special_tokens=False).ids for _, t in rows], strict=True))
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == want
     order = sorted(got, key=lambda r: r.start)
@@ -63,7 +63,7 @@ def test_words_with_cuts_equal_whole_texts():
 
     tz = Tokenizer.from_file(WORDS)
     texts = ["", "A<|ENDOFTEXT|>b <|endoftext|>x", "don't We'RE 12.5,a ́x É. a.b,c!!?? ÀÉ'S.\x0b\x1cx y z.\x85q İI.ſ's K", "Éa.É,e ́,", "'s,'t.x;y:z"]
-    ids, n = token_codes.Tokens(WORDS, cut=token_codes.CUT, fold=True).texts(pa.array(texts), 2)
+    ids, n = token_codes.Tokens(WORDS).texts(pa.array(texts), 2)
     want = [[*tz.encode(t, add_special_tokens=False).ids, 2] for t in texts]
     assert ids.tolist() == list(itertools.chain.from_iterable(want)) and n.tolist() == [len(x) for x in want]
 
@@ -76,11 +76,46 @@ def test_words_that_change_under_normalisation_equal_whole_texts():
     ends = ["GAZETES\u0130", "\u09df", "\u095c", "\ufb2a", "I\u0307", "E\u0301", "\u00c9", "\u00df", "Z9", "\u0645"]
     texts = [e + p + rest for e in ends for p in ".,!?;:" for rest in ("", "X", "\u0301")]
     texts += [c + m for c in "AHJTWYahjtwy" for m in map(chr, range(0x300, 0x370))]
-    ids, n = token_codes.Tokens(WORDS, cut=token_codes.CUT, fold=True).texts(pa.array(texts), 2)
+    ids, n = token_codes.Tokens(WORDS).texts(pa.array(texts), 2)
     want = [[*tz.encode(t, add_special_tokens=False).ids, 2] for t in texts]
     assert ids.tolist() == list(itertools.chain.from_iterable(want)) and n.tolist() == [len(x) for x in want]
 
 
+def test_random_texts_equal_whole_texts():
+    """Letters of many scripts, all combining marks, cases, digits, punctuation and white space, in any order."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tz, r = Tokenizer.from_file(WORDS), random.Random(12)
+    marks, letters = [chr(c) for c in range(0x300, 0x370)], [chr(c) for c in [*range(0x41, 0x250), *range(0x370, 0x590), 0x5E9, 0x5C1, 0x915, 0x93C, 0x9AF, 0x9BC, 0x1112, 0x1161, 0x11AB, 0x212B, 0xFB01]]
+    others = list(".,!?;:'\"-()<|>0123456789") + [" ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2028", "\u3000", "\u200d", "'s", "'LL", "<|endoftext|>"]
+    texts = ["".join(r.choice(r.choice((marks, letters, others, list("AJHTWYaei"), list(".,!?;:")))) for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    ids, n = token_codes.Tokens(WORDS).texts(pa.array(texts), 2)
+    want = [[*tz.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert n.tolist() == [len(x) for x in want] and ids.tolist() == list(itertools.chain.from_iterable(want))
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import json
+
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tz, texts = Tokenizer.from_file(path), ["", None, " two  spaces\nand More.", "É.x"]
+    tokens = token_codes.Tokens(path)
+    ids, n = tokens.texts(pa.array(texts), 7)
+    want = [[*tz.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+    assert not tokens.by_words and ids.tolist() == list(itertools.chain.from_iterable(want)) and n.tolist() == [len(x) for x in want]
+    settings = json.loads(Tokenizer.from_file(WORDS).to_str())
+    assert token_codes.by_words(settings)
+    settings["normalizer"]["normalizers"].pop()
+    assert not token_codes.by_words(settings)
+
+
 # --- chat trees
 
 
@@ -160,6 +195,111 @@ def test_media_of_more_rows_than_an_image_has():
     assert len(list(media_webp.images(media))) == 2 and media_webp.decode_payload(media).tobytes() == raw.tobytes()
 
 
+def prose(seed, n):
+    import random
+
+    r = random.Random(seed)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(400)]
+    return " ".join(r.choice(words) for _ in range(n)).encode()
+
+
+def padded(raw):
+    return raw + b"\xff" * (576 if not raw else -len(raw) % 576)
+
+
+PAYLOADS = {
+    "coded": prose(1, 3000),
+    "copies": prose(2, 40)[:96] * 40 + prose(3, 300),
+    "cache": b"".join(b"%c%c%c." % (97 + (k * k) % 7, 98 + (k * 5) % 3, 99) + prose(k, 3)[:4] for k in range(700)),
+    "palette": b"".join([b"abcd", b"efgh", b"ijkl"][(k * k + k // 3) % 3] for k in range(900)),
+    "predictor": b"".join(bytes([k % 251, (k * 3) % 251, (k * 7 + k // 50) % 251, (k // 4) % 251]) for k in range(4000)),
+    "cross": b"".join(bytes([x, x, x, 65]) for x in np.random.default_rng(4).integers(0, 256, 3000).tolist()),
+}
+
+
+@pytest.mark.parametrize("feature", sorted(PAYLOADS))
+def test_writer_uses_what_helps_and_the_reader_undoes_it(feature):
+    raw = np.frombuffer(padded(PAYLOADS[feature]), np.uint8)
+    rows = np.append(np.full(len(raw) // 576 // media_webp.MOST_ROWS, media_webp.MOST_ROWS), len(raw) // 576 % media_webp.MOST_ROWS)
+    files, used = media_webp.encode_images(raw, rows[rows > 0])
+    assert used[feature].any() and sum(map(len, files)) < 0.8 * len(raw)
+    assert media_webp.decode_payload(b"".join(files)).tobytes() == raw.tobytes()
+
+
+def test_stored_text_is_smaller_and_equal_texts_are_stored_equally():
+    texts = [padded(prose(k, 5 * k)) for k in range(1, 120)] + [padded(b""), padded(b"x"), padded(prose(7, 35))]
+    blocks = np.array([len(t) // 576 for t in texts])
+    media = media_webp.encode_payloads(np.frombuffer(b"".join(texts), np.uint8), blocks)
+    assert media[-1] == media[6] == media_webp.encode_payload(texts[6]) and sum(map(len, media)) < 0.7 * sum(map(len, texts))
+    assert [x.tobytes() for x in media_webp.decode_payloads(media)] == texts
+
+
+def test_images_read_together_and_pixel_by_pixel_are_equal():
+    """The scalar reader, for images with several groups, as the check of the batched one."""
+    texts = [padded(prose(k, 40 * k)) for k in range(1, 8)] + [padded(x) for x in PAYLOADS.values()]
+    for t in texts:
+        for file in media_webp.images(media_webp.encode_payload(t)):
+            wide, high, _, left = media_webp._opened(file)
+            if not isinstance(left, media_webp.Pending):
+                continue
+            r = media_webp.BitReader(left.data)
+            r.at = left.at
+            codes, cache, out = [media_webp.read_code(r, n) for n in media_webp._alphabets(left.cache_bits)], {}, []
+
+            def put(v):
+                out.append(v)
+                if left.cache_bits:
+                    cache[(media_webp.CACHE_FACTOR * v & 0xFFFFFFFF) >> (32 - left.cache_bits)] = v
+
+            while len(out) < left.total:
+                s = codes[0].read(r)
+                if s < 256:
+                    red, blue, alpha = (codes[c].read(r) for c in (1, 2, 3))
+                    put(alpha << 24 | red << 16 | s << 8 | blue)
+                elif s < 280:
+                    n = media_webp._prefixed(s - 256, r)
+                    d = media_webp._distance(media_webp._prefixed(codes[4].read(r), r), left.wide)
+                    for _ in range(n):
+                        put(out[-d])
+                else:
+                    put(cache.get(s - 280, 0))
+            assert media_webp.read_pending([left, left])[1].tolist() == out
+
+
+def test_prefix_codes_are_complete():
+    rng = np.random.default_rng(6)
+    counts = rng.integers(0, 40, (50, 300)) * (rng.random((50, 300)) < 0.3)
+    counts[0], counts[1], counts[1, 5], counts[2, 1:] = 0, 0, 9, 0
+    n = media_webp.code_lengths(counts).astype(int)
+    kraft = np.where(n > 0, 2.0**-n, 0).sum(1)
+    assert (kraft[3:] == 1).all() and (n[0] > 0).sum() == 1 and n[1, 5] == 1 and ((n > 0) == (counts > 0))[3:].all()
+
+
+def test_look_ups_of_codes_of_all_lengths():
+    """Codes of up to 15 bits, which the writer never makes."""
+    n = np.zeros((3, 300), np.uint8)
+    n[0, :16] = [*range(1, 16), 15]
+    n[1, [7, 9]] = 1
+    n[2, 250] = 1
+    table, (limit, base, symbols, used) = media_webp._look_ups(n)
+    codes = media_webp._codes(n)
+    for row in (0, 1):
+        for s in np.flatnonzero(n[row]).tolist():
+            bits, length = int(codes[row, s]), int(n[row, s])
+            e = int(table[(row << media_webp.LOOK) + (bits & ((1 << media_webp.LOOK) - 1))])
+            assert e == (s << 4 | length) if length <= media_webp.LOOK else e == 15
+            r = media_webp.BitReader(bits.to_bytes(4, "little"))
+            assert media_webp.Code(n[row].tolist()).read(r) == s and r.at == length
+    assert set(table[2 << media_webp.LOOK :].tolist()) == {250 << 4} and used.tolist() == [16, 2, 1]
+
+
+def test_pixel_arrays(spark):
+    df = documents(spark, n=12)
+    media = media_webp.write_media(df)
+    rows = media_webp.read_pixels(media).collect()
+    assert all(len(r.rgba) == 4 * r.high * r.wide and r.wide == 144 for r in rows) and len(rows) >= df.count()
+
+
 class Stream(media_webp.BitWriter):
     """Writes entropy-coded images of given symbols with flat or simple codes, for the reader's tests."""
 
@@ -299,7 +439,7 @@ def test_reader_undoes_predictors(mode):
 
 
 def test_reader_rejects_broken_files():
-    media = media_webp.encode_payload(bytes(576))
+    media = media_webp.encode_payload(("Some words of a text, some more words. " * 600)[:5760].encode())
     for junk in (b"", media[:30], media[:-100], media[:20] + b"\0" + media[21:]):
         with pytest.raises((ValueError, struct.error)):
             media_webp.decode_image(junk)
@@ -308,6 +448,14 @@ def test_reader_rejects_broken_files():
 # --- pieces
 
 
+def test_noise_of_no_two_places_is_the_same():
+    keys = np.full(200, 5, np.uint64)
+    place = np.arange(200)
+    seen = np.concatenate([piece_sampling._noise(keys, sample, place, stream, turn) for sample in range(3) for stream in range(3) for turn in (0, 1, 63, 64, 65, 128, 1 << 20)])
+    assert len(np.unique(seen)) == len(seen)
+
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return piece_sampling.Pieces(piece_sampling.model_path())
