@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import col, fresh, table
 
 RATIO, LEAST_PAGES = 0.1, 3
 #: Scripts, styles, comments and tags of a page; what is between them are its lines.
@@ -44,27 +44,29 @@ def host_key(col):
 HOT_SHARE, SALTS = 1000, 64
 
 
-def line_dedup(df: DataFrame, host, lines, ratio: float = RATIO, least_pages: int = LEAST_PAGES, distinct_pages: bool = False) -> DataFrame:
-    """df with `_host`, `_lines` (array or null) and `_kept`, the lines that stay, in order.
+def line_dedup(df: DataFrame, host, lines, ratio: float = RATIO, least_pages: int = LEAST_PAGES, distinct_pages: bool = False) -> tuple[DataFrame, str, str]:
+    """df with two more columns, and their names, which no column of df has: the lines (array or null) and those that stay, in order.
 
-    host and lines are columns of df; names that start with an underscore are taken by this operator.
-    Pages of hot hosts meet their host's lines under one of SALTS keys, by a hash of the row.
+    host and lines are columns of df. A line goes if it is on at least least_pages pages of the host and on more than
+    ratio of them; least_pages=1 is the ratio alone. Pages of hot hosts meet their host's lines under one of SALTS keys, by a hash of the row.
     """
-    own = df.withColumns({"_host": host_key(host), "_lines": lines, "_salt": F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")})
-    drop = boilerplate(own.select(F.col("_host").alias("host"), F.coalesce("_lines", F.array().cast("array<string>")).alias("lines")), ratio, least_pages, distinct_pages).select(F.col("host").alias("_host"), F.col("drop").alias("_drop"))
+    key, own_lines, salt, drop, number, hot_one, kept = fresh(df.columns, "host", "lines", "salt", "drop", "n", "hot", "kept")
+    own = df.withColumns({key: host_key(host), own_lines: lines, salt: F.pmod(F.xxhash64(*map(col, df.columns)), F.lit(SALTS)).cast("int")})
+    gone = boilerplate(own.select(F.col(key).alias("host"), F.coalesce(F.col(own_lines), F.array().cast("array<string>")).alias("lines")), ratio, least_pages, distinct_pages).select(F.col("host").alias(key), F.col("drop").alias(drop))
     total = df.count()
-    hot = F.broadcast(own.groupBy("_host").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") * HOT_SHARE > total).select("_host", F.lit(True).alias("_hot")))
-    own = own.join(hot, "_host", "left").withColumn("_salt", F.when(F.col("_hot"), F.col("_salt")).otherwise(0)).drop("_hot")
-    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    drop = drop.join(hot, "_host", "left").select("_host", "_drop", F.explode(every).alias("_salt"))
-    kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains(F.col("_drop"), x)))
-    return own.join(drop, ["_host", "_salt"], "left").withColumn("_kept", kept).drop("_drop", "_salt")
+    hot = F.broadcast(own.groupBy(key).agg(F.count(F.lit(1)).alias(number)).filter(F.col(number) * HOT_SHARE > total).select(key, F.lit(True).alias(hot_one)))
+    own = own.join(hot, key, "left").withColumn(salt, F.when(F.col(hot_one), F.col(salt)).otherwise(0)).drop(hot_one)
+    every = F.when(F.col(hot_one), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    gone = gone.join(hot, key, "left").select(key, drop, F.explode(every).alias(salt))
+    stay = F.when(F.col(drop).isNull(), F.col(own_lines)).otherwise(F.filter(F.col(own_lines), lambda x: ~F.array_contains(F.col(drop), x)))
+    return own.join(gone, [key, salt], "left").select(*map(col, df.columns), own_lines, stay.alias(kept)), own_lines, kept
 
 
 def dedup_documents(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, distinct_pages: bool = True) -> DataFrame:
     """The same columns; lines of the text (cut at \\n) that are boilerplate of their source are gone."""
-    out = line_dedup(docs, F.col(host_col), F.split(text_col, "\n", -1), ratio, least_pages, distinct_pages)
-    return out.withColumn(text_col, F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n"))).select(*docs.columns)
+    out, lines, kept = line_dedup(docs, col(host_col), F.split(col(text_col), "\n", -1), ratio, least_pages, distinct_pages)
+    text = F.when(F.col(lines).isNull(), col(text_col)).otherwise(F.array_join(kept, "\n"))
+    return out.select(*[text.alias(c) if c == text_col else col(c) for c in docs.columns])
 
 
 def page_lines(html):
@@ -75,8 +77,9 @@ def page_lines(html):
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages: page_id, host, n_lines, n_dropped and the text that stays."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    out = line_dedup(pages, F.lower(F.regexp_extract("url", HOST, 1)), page_lines(F.coalesce("html", F.lit(""))))
-    return out.select("page_id", F.lower(F.regexp_extract("url", HOST, 1)).alias("host"), F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"), F.array_join("_kept", "\n").alias("text"))
+    host = F.lower(F.regexp_extract("url", HOST, 1))
+    out, lines, kept = line_dedup(pages, host, page_lines(F.coalesce("html", F.lit(""))))
+    return out.select("page_id", host.alias("host"), F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(kept)).cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("text"))
 
 
 SQL = rf"""
@@ -87,9 +90,9 @@ WITH p AS (
 ), c AS (
   SELECT host, line, count(*) AS n FROM (SELECT page_id, host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY host, line
 ), t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
-b AS (SELECT c.host, list(line) AS drops FROM c JOIN t ON c.host = t.host WHERE n >= {LEAST_PAGES} AND n > {RATIO}::DOUBLE * pages GROUP BY c.host)
+b AS (SELECT c.host, list(line) AS drops FROM c JOIN t ON c.host IS NOT DISTINCT FROM t.host WHERE n >= {LEAST_PAGES} AND n > {RATIO}::DOUBLE * pages GROUP BY c.host)
 SELECT page_id, p.host, len(lines) AS n_lines,
        len(lines) - len([x FOR x IN lines IF NOT list_contains(coalesce(drops, []), x)]) AS n_dropped,
        array_to_string([x FOR x IN lines IF NOT list_contains(coalesce(drops, []), x)], chr(10)) AS text
-FROM p LEFT JOIN b ON p.host = b.host
+FROM p LEFT JOIN b ON p.host IS NOT DISTINCT FROM b.host
 """

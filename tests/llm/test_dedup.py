@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import exact_dedup, graph, line_dedup, ngram_join, suffix_dedup
 
+from ..oracle import differences
 from .fixtures import documents, empty, pairs
 
 
@@ -29,7 +30,8 @@ def brute_exact(rows):
     for norm, members in groups.items():
         top = max(n for _, n in members)
         keep = min((i for i, n in members if n == top), key=lambda i: (i is not None, i or 0))
-        out += [(i, keep, len(members), i == keep, hashlib.sha256(norm.encode()).hexdigest()) for i, _ in members]
+        first = next(k for k, (i, n) in enumerate(members) if i == keep and n == top)
+        out += [(i, keep, len(members), k == first, hashlib.sha256(norm.encode()).hexdigest()) for k, (i, _) in enumerate(members)]
     return sorted(out, key=str)
 
 
@@ -195,7 +197,7 @@ def test_groups_of_several_tiles(spark, monkeypatch):
     classes = spark.createDataFrame([(k, 20, *bits[k // 2].tolist()) for k in range(40)], schema)
     member = spark.createDataFrame([(9, k, 1) for k in range(40)], "gid long, node long, said long")
     label = spark.createDataFrame([(k, k) for k in range(40)], "node long, component long")
-    got = ngram_join._unconnected(member, label, classes, 85).collect()
+    got = ngram_join._unconnected(member, label, classes, 85, 5).collect()
     assert {(k, k + 1) for k in range(0, 40, 2)} <= {tuple(r) for r in got} and all(r.a < r.b for r in got)
 
 
@@ -259,6 +261,16 @@ def test_suffix_dedup_equals_brute_force(spark, length, gram, chunks):
     assert sorted((tuple(r)[:5] for r in got.collect()), key=str) == brute_suffix(pairs(df), length)
 
 
+def test_suffix_dedup_of_texts_of_one_letter_and_of_some_mb(spark):
+    """What sorting by repetition likes least: one letter, a short period, and a text of 3 MB with a copy of its middle."""
+    r = random.Random(9)
+    long = "".join(r.choice("abcdefgh ") for _ in range(3_000_000))
+    rows = [(1, "a" * 30_000), (2, "ab" * 9_000), (3, "a" * 400), (4, long), (5, "start " + long[1_000_000:1_002_000] + " stop")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in suffix_dedup.suffix_dedup(df).collect()}
+    assert got == {1: (30_000, 0, 0), 2: (18_000, 0, 0), 3: (400, 400, 1), 4: (3_000_000, 0, 0), 5: (2_011, 2_000, 1)}
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix_dedup.suffix_dedup(empty(spark)).count() == 0
 
@@ -311,6 +323,30 @@ def test_line_dedup_keeps_columns_and_rows(spark):
     assert line_dedup.dedup_documents(empty(spark)).count() == 0
 
 
+def test_line_dedup_takes_any_column_names(spark):
+    names = ["doc_id", "source", "text", "_host", "host", "lines", "salt", "kept", "n", "Drop", "a.b"]
+    rows = [(k, "h", f"menu\nown {k}", *(f"mine {c}" for c in names[3:])) for k in range(10)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in names))
+    out = line_dedup.dedup_documents(df, ratio=0.5)
+    assert out.columns == names
+    assert sorted(map(tuple, out.collect())) == sorted((k, "h", f"own {k}", *r[3:]) for k, r in enumerate(rows))
+
+
+def test_lines_at_the_ratio_stay(spark):
+    rows = [(k, "h", ("half\n" if k % 2 else "") + ("more\n" if k < 6 else "") + f"own {k}") for k in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = line_dedup.dedup_documents(df, ratio=0.5, least_pages=1, distinct_pages=False)
+    assert out.filter("text like '%half%'").count() == 5 and out.filter("text like '%more%'").count() == 0
+
+
+def test_lines_of_pages_without_a_host(spark, tmp_path):
+    """Null urls are one host, in the query and in its SQL."""
+    rows = [(k, None, f"<p>common</p><p>own {k}</p>") for k in range(5)] + [(9, "http://x/", "<p>common</p>"), (10, "no url", None), (11, "http://x/", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert differences(line_dedup.op9_line_dedup(spark, str(tmp_path)), line_dedup.SQL, str(tmp_path)) == []
+    assert line_dedup.op9_line_dedup(spark, str(tmp_path)).filter("n_dropped > 0").count() == 5
+
+
 def test_line_dedup_with_a_hot_host(spark):
     rows = [(k, f"h{k % 3 if k % 2 else 0}", f"menu\nown {k}") for k in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
