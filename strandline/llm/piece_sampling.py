@@ -176,8 +176,10 @@ class Lattice:
         return arc
 
 
-def _noise(key: np.ndarray, sample: int, step: np.ndarray, stream: int) -> np.ndarray:
-    return uniform(mix(key + mix(step.astype(U) + (U(sample * 4 + stream) << U(40)))))
+def _noise(key: np.ndarray, sample: int, step: np.ndarray, stream: int, turn: int = 0) -> np.ndarray:
+    """Uniform numbers for the place step, the turn there, the sample and the stream: each is hashed in on its own, so none meets another."""
+    x = mix(key + mix(step.astype(U) + U(0x9E3779B97F4A7C15)))
+    return uniform(mix(mix(x + U(turn)) ^ mix(np.full(1, sample, U) * U(0xC2B2AE3D27D4EB4F) + U(stream))))
 
 
 def _truncated(phi: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -203,7 +205,7 @@ def _walk(lattice: Lattice, node: np.ndarray, key: np.ndarray, place: np.ndarray
     live, steps = np.arange(len(node)), []
     at, t = node.copy(), 0
     while len(live):
-        arc = lattice.choose(at, _noise(key[live], sample, place[live] * 64 + min(t, 63) if t < 64 else place[live] * 64 + 63 + (t << 34), 0))
+        arc = lattice.choose(at, _noise(key[live], sample, place[live], 0, t))
         steps.append((live, arc))
         nxt = at + lattice.n[arc]
         go = nxt < lattice.end[at]
