@@ -5,9 +5,14 @@ filters of widths 2, 3 and 4 slide over each window, their largest values feed a
 the probabilities of a text's windows are averaged by how full the windows are. For prediction each
 filter is unrolled into tables over byte pairs, so a window costs five table look-ups a byte.
 
-Training takes at most per_lang documents of each language, chosen by a hash of the id, and a stretch
-of at most piece_chars characters of each (the documented bound); prediction reads every text whole,
-in slices of bounded memory.
+Training takes some per_lang documents of each of the most_langs commonest languages (each document
+with the chance per_lang / their number, by a hash of id and text), and a stretch of at most piece_chars
+characters of each. Never more than 2 * per_lang * languages: beyond, those with the largest hashes are left out.
+That is the documented bound; prediction reads every text whole, in slices of bounded memory.
+
+Beside the languages the network learns one class of none of them: windows of the sample whose letters are
+exchanged at random, and random letters of other scripts. It is never predicted; it takes probability, so the
+score of a text that is in no learned language is small.
 
 A null text and one without letters are `und` with score 0; so is every text if no label was given.
 Ties go to the label that sorts first. Repeated rows get equal results. Empty table: empty result.
@@ -19,11 +24,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_buffers
+from .common import col, fresh, slices, table, text_buffers
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
-PER_LANG, PIECE_CHARS, EPOCHS, BATCH, SEED = 1200, 1024, 6, 64, 11
+PER_LANG, MOST_LANGS, PIECE_CHARS, EPOCHS, BATCH, SEED = 1200, 1000, 1024, 6, 64, 11
 UNKNOWN = "und"
+#: The network's last class: no learned language.
+NONE = ""
 
 
 class ByteConvNet:
@@ -118,17 +125,38 @@ def windows(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return x.astype(np.uint8), of, fill
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, piece_chars: int = PIECE_CHARS, seed: int = SEED) -> ByteConvNet | None:
-    """A network from the labelled rows of docs; None if there are none. Languages are few: their counts go to the driver."""
-    own = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter("t is not null and l is not null")
-    counts = {r["l"]: r["count"] for r in own.groupBy("l").count().collect()}
+def none_windows(x: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """n windows of no language: letters of windows of x exchanged, other scripts, and letters and digits without order."""
+    out = x[rng.integers(0, len(x), n)].copy()
+    for k in range(n):
+        kind, space = k % 4, rng.random(WINDOW) < 0.15
+        if kind < 2:
+            to = np.arange(256, dtype=np.uint8)
+            to[97:123] = rng.permutation(26) + 97
+            to[65:91] = to[97:123] - 32
+            out[k] = to[out[k]]
+        elif kind == 2:
+            wide, lead = int(rng.integers(2, 4)), int(rng.integers(0xC4, 0xE0))
+            row = rng.integers(0x80, 0xC0, WINDOW)
+            row[::wide] = lead + rng.integers(0, 2, len(row[::wide])) if wide == 2 else rng.integers(0xE1, 0xEE)
+            out[k] = np.where(np.repeat(space[::wide], wide)[:WINDOW], 0x20, row)
+        else:
+            letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/=;(){}", np.uint8)
+            out[k] = np.where(space & (k % 8 == 3), 0x20, letters[rng.integers(0, (26, 62, len(letters))[k % 3], WINDOW)])
+    return out
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, piece_chars: int = PIECE_CHARS, seed: int = SEED, most_langs: int = MOST_LANGS) -> ByteConvNet | None:
+    """A network from the labelled rows of docs; None if there are none. The counts of at most most_langs languages go to the driver."""
+    own = docs.select(col(id_col).alias("k"), col(text_col).alias("t"), col(lang_col).alias("l")).filter("t is not null and l is not null")
+    counts = {r["l"]: r["count"] for r in own.groupBy("l").count().orderBy(F.desc("count"), "l").limit(most_langs).collect()}
     if not counts:
         return None
     part = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1.0, per_lang / n))])
-    unit = (F.xxhash64(F.col("k"), F.lit(seed)).bitwiseAND((1 << 30) - 1)) / float(1 << 30)
-    begin = F.pmod(F.xxhash64(F.col("k"), F.lit(seed + 1)), F.greatest(F.lit(1), F.char_length("t") - piece_chars + 1)) + 1
-    rows = own.filter(unit < F.element_at(part, F.col("l"))).select("k", "l", F.substring(F.col("t"), begin.cast("int"), F.lit(piece_chars)).alias("t"))
-    rows = sorted(rows.limit(2 * per_lang * len(counts)).collect(), key=lambda r: (r["l"], str(r["k"]), r["t"]))
+    unit = (F.xxhash64(F.col("k"), F.lit(seed), F.col("t")).bitwiseAND((1 << 30) - 1)) / float(1 << 30)
+    begin = F.pmod(F.xxhash64(F.col("k"), F.lit(seed + 1), F.col("t")), F.greatest(F.lit(1), F.char_length("t") - piece_chars + 1)) + 1
+    rows = own.filter(unit < F.element_at(part, F.col("l"))).select("k", "l", F.substring(F.col("t"), begin.cast("int"), F.lit(piece_chars)).alias("t"), (unit / F.element_at(part, F.col("l"))).alias("turn"))
+    rows = sorted(rows.orderBy("turn", "k", "t").limit(2 * per_lang * len(counts)).collect(), key=lambda r: (r["l"], str(r["k"]), r["t"]))
     labels = sorted(counts)
     text = [r["t"].encode() for r in rows]
     end = np.cumsum([len(t) for t in text]).astype(np.int64)
@@ -147,14 +175,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         of_c = y[order] == c
         nth[of_c] = np.arange(of_c.sum())
     order = order[nth < most]
-    return ByteConvNet(labels, seed).fit(x[order], y[order], seed=seed)
+    if not len(order):
+        return None
+    x, y = x[order], y[order]
+    none = none_windows(x, most, rng)
+    return ByteConvNet([*labels, NONE], seed).fit(np.concatenate([x, none]), np.concatenate([y, np.full(len(none), len(labels))]), seed=seed)
 
 
 def predict(docs: DataFrame, net: ByteConvNet | None, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 1 << 20, keep: bool = False) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row; with keep, every column of docs and _lang_pred, _score."""
+    """(doc_id, lang_pred, score) of every row; with keep, every column of docs, and these two last, under names that no other column has."""
     if keep:
         return _predict_beside(docs, net, text_col, slice_bytes)
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    own = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), F.coalesce(col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     if net is None:
         return own.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
 
@@ -172,7 +204,9 @@ def _scored(batches, net: ByteConvNet, text: int, letters: int, slice_bytes: int
     """Slices of the batches with the label and score of each row; text and letters are column numbers."""
     import pyarrow as pa
 
-    tables, labels = net.tables(), np.array([*net.labels, UNKNOWN], object)
+    slice_bytes = max(WINDOW, slice_bytes // WINDOW * WINDOW)  # windows start where they do in a whole text
+    tables, names = net.tables(), [x for x in net.labels if x != NONE]
+    labels = np.array([*names, UNKNOWN], object)
     for batch in batches:
         raw, start, end = text_buffers(batch.column(text))
         for i, j in slices(start, end, slice_bytes):
@@ -185,27 +219,29 @@ def _scored(batches, net: ByteConvNet, text: int, letters: int, slice_bytes: int
                 total += np.stack([np.bincount(of, prob[:, c] * w, j - i) for c in range(len(net.labels))], 1)
                 weight += np.bincount(of, w, j - i)
             mean = total / weight[:, None]
-            best, ok = mean.argmax(1), np.asarray(batch.column(letters).slice(i, j - i))
+            best, ok = mean[:, : len(names)].argmax(1), np.asarray(batch.column(letters).slice(i, j - i))
             score = np.where(ok, np.clip(mean[np.arange(j - i), best], 0, 1), 0.0)
-            yield batch.slice(i, j - i), pa.array(labels[np.where(ok, best, len(net.labels))], pa.string()), pa.array(score)
+            yield batch.slice(i, j - i), pa.array(labels[np.where(ok, best, len(names))], pa.string()), pa.array(score)
 
 
 def _predict_beside(docs: DataFrame, net: ByteConvNet | None, text_col: str, slice_bytes: int) -> DataFrame:
+    pred_name, score_name, letters_name = fresh(docs.columns, "lang_pred", "score", "letters")
     if net is None:
-        return docs.withColumns({"_lang_pred": F.lit(UNKNOWN), "_score": F.lit(0.0)})
-    own = docs.withColumn("_letters", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    text, letters = own.columns.index(text_col), len(own.columns) - 1
+        return docs.withColumns({pred_name: F.lit(UNKNOWN), score_name: F.lit(0.0)})
+    own = docs.withColumn(letters_name, F.coalesce(col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    text, letters, docs_columns = own.columns.index(text_col), len(own.columns) - 1, docs.columns
 
     def run(batches):
         import pyarrow as pa
 
         for batch, pred, score in _scored(batches, net, text, letters, slice_bytes):
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pred, score], [*batch.schema.names[:-1], "_lang_pred", "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pred, score], [*docs_columns, pred_name, score_name])
 
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    schema = StructType([*docs.schema.fields, StructField("_lang_pred", StringType()), StructField("_score", DoubleType())])
-    return own.mapInArrow(run, schema)
+    schema = StructType([*docs.schema.fields, StructField(pred_name, StringType()), StructField(score_name, DoubleType())])
+    # Names with dots cannot be arguments of a function over batches: columns go by number there.
+    return own.toDF(*[f"c{k}" for k in range(len(own.columns))]).mapInArrow(run, schema)
 
 
 def held_out(id_col):
