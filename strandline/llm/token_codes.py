@@ -18,6 +18,8 @@ by id, then by a hash of the text; null ids come first. Empty table: empty resul
 from __future__ import annotations
 
 import itertools
+import json
+import re
 import struct
 import zlib
 
@@ -25,18 +27,38 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_for, ranges, slices, table, text_buffers, written
+from .common import buckets_for, col, ranges, slices, table, text_buffers, written
 
 MAGIC, VERSION, BLOCK = b"SLDA", 1, 512
 #: Bytes of text that are tokenised at a time, tokens of a shard, and words whose ids a worker remembers.
 SLICE_BYTES, SHARD_TOKENS, MEMO_WORDS = 4 << 20, 1 << 20, 700_000
-#: For word-level vocabularies: a letter or digit and this punctuation are never of one word. Only letters up to
-#: U+00FF, which NFC and lower case leave single letters; others may end in a mark, which goes with the punctuation.
+#: Range partitions whose totals are broadcast.
+FEW_PARTS = 250_000
+#: The normaliser and the pattern of words for which ids of a text are those of its words, in order (fixed values
+#: of a tokenizer's file). White space is never of a word; a letter or digit and CUT's punctuation are never of one word;
+#: A-Z are lower-cased before words are looked up. A tokenizer with any other settings encodes whole texts.
+WORD_NORMALISERS = ["NFC", "Replace", "Lowercase"]
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Only letters up to U+00FF, which NFC and lower case leave single letters; others may end in a mark, which goes with the punctuation.
 CUT = r"([0-9A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:])"
 #: Words that are not folded: with special tokens, or letters above U+00FF (H and a mark stay two where h and it are one).
 KEPT = r"<\||[^\x{00}-\x{FF}]"
 
 
+def by_words(settings: dict) -> bool:
+    """Whether a tokenizer's file has the settings under which a text may be cut into words."""
+    norm, pre, model = settings.get("normalizer") or {}, settings.get("pre_tokenizer") or {}, settings.get("model") or {}
+    steps, splits = norm.get("normalizers") or [], pre.get("pretokenizers") or []
+    if [x.get("type") for x in steps] != WORD_NORMALISERS or [x.get("type") for x in splits] != ["Split", "ByteLevel"]:
+        return False
+    split, level = splits
+    spaces = steps[1].get("pattern") == {"Regex": r"\s+"} and steps[1].get("content") == " "
+    words = split.get("pattern") == {"Regex": WORD_PATTERN} and split.get("behavior") == "Removed" and split.get("invert") is True
+    plain = level.get("add_prefix_space") is False and level.get("use_regex") is False and model.get("type") == "BPE" and not model.get("dropout")
+    special = all(re.fullmatch(r"<\|[^\s.,!?;:]*\|>", x["content"]) and not x.get("lstrip") and not x.get("rstrip") and not x.get("normalized") for x in settings.get("added_tokens") or [])
+    return bool(spaces and words and plain and special and not settings.get("post_processor") and not settings.get("truncation") and not settings.get("padding"))
+
+
 def encode_codes(ids: np.ndarray) -> bytes:
     """The shard of a sequence of ids below 2**32."""
     rest = np.ascontiguousarray(ids, np.uint32)
@@ -120,18 +142,17 @@ class Codes:
 
 
 class Tokens:
-    """Ids of whole texts by a tokenizer of the tokenizers library, with the ids of each word remembered.
+    """Ids of whole texts by a tokenizer of the tokenizers library.
 
-    Only for tokenizers that drop white space and join nothing across it: then the ids of a text are
-    those of its words (cut at ASCII white space), which repeat, in order. Two more properties of the
-    tokenizer shorten the list of words: `cut` matches a place where it always ends a word (both sides
-    in groups), and `fold` says that it ignores the case of A-Z in words without a match of KEPT.
+    Where the tokenizer's settings allow it (see by_words), the ids of each word are remembered: the ids
+    of a text are those of its words, cut at ASCII white space and at CUT, which repeat, in order.
     """
 
-    def __init__(self, path: str, memo: int = MEMO_WORDS, cut: str | None = None, fold: bool = False):
+    def __init__(self, path: str, memo: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.cut, self.fold = Tokenizer.from_file(path), memo, cut, fold
+        self.tokenizer, self.memo = Tokenizer.from_file(path), memo
+        self.by_words = by_words(json.loads(self.tokenizer.to_str()))
         self.forget()
 
     def forget(self) -> None:
@@ -155,18 +176,21 @@ class Tokens:
             self.flat = np.concatenate([self.flat, got.astype(kind)])
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
-    def texts(self, col, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def texts(self, column, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by end_id; number of ids of each)."""
         import pyarrow.compute as pc
 
-        col = pc.fill_null(col, "")
-        if self.cut:
-            col = pc.replace_substring_regex(col, pattern=self.cut, replacement=r"\1 \2")
-        split = pc.ascii_split_whitespace(col)
+        column = pc.fill_null(column, "")
+        if not self.by_words:
+            ids = [e.ids + [end_id] for e in self.tokenizer.encode_batch_fast(column.to_pylist(), add_special_tokens=False)]
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(n.sum())), n
+        column = pc.replace_substring_regex(column, pattern=CUT, replacement=r"\1 \2")
+        split = pc.ascii_split_whitespace(column)
         n_words = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pc.list_flatten(split).dictionary_encode()
         words, of = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-        if self.fold and len(words):
+        if len(words):
             folded = pc.if_else(pc.match_substring_regex(words, KEPT), words, pc.ascii_lower(words)).dictionary_encode()
             words, of = folded.dictionary, folded.indices.to_numpy(zero_copy_only=False)[of]
         at = self.words(words.to_pylist())
@@ -182,7 +206,7 @@ class Tokens:
         return out, n + 1
 
 
-def _writer(path: str, end_id: int, slice_bytes: int, shard_tokens: int, cut: str | None, fold: bool):
+def _writer(path: str, end_id: int, slice_bytes: int, shard_tokens: int):
     def write(batches):
         import os
 
@@ -190,7 +214,7 @@ def _writer(path: str, end_id: int, slice_bytes: int, shard_tokens: int, cut: st
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, tokens, base = TaskContext.get().partitionId(), Tokens(path, cut=cut, fold=fold), 0
+        part, tokens, base = TaskContext.get().partitionId(), Tokens(path), 0
         docs, counts, ids, held = [], [], [], 0
 
         def shard():
@@ -219,11 +243,11 @@ def _writer(path: str, end_id: int, slice_bytes: int, shard_tokens: int, cut: st
     return write
 
 
-def write_token_codes(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE_BYTES, shard_tokens: int = SHARD_TOKENS, cut: str | None = None, fold: bool = False) -> DataFrame:
+def write_token_codes(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE_BYTES, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encodes docs in ascending id order into a table of shards and returns that table, read back lazily."""
     n = buckets_for(docs.sparkSession, docs, 16 << 20)
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    shards = ordered.mapInArrow(_writer(tokenizer_path, end_id, slice_bytes, shard_tokens, cut, fold), "part int, base long, n_tokens long, doc_ids array<long>, counts array<long>, codes binary")
+    ordered = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    shards = ordered.mapInArrow(_writer(tokenizer_path, end_id, slice_bytes, shard_tokens), "part int, base long, n_tokens long, doc_ids array<long>, counts array<long>, codes binary")
     return written(shards, "token-codes")
 
 
@@ -242,14 +266,15 @@ def read_token_codes(shards: DataFrame) -> DataFrame:
 
     from pyspark.sql import Window
 
-    # One row for each range partition, at most 200,000 (see buckets_for): small enough for one window and a broadcast.
+    # One row for each range partition: small enough for one window. Broadcast behind a check of their number, else joined.
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    before = F.broadcast(before) if totals.count() <= FEW_PARTS else before
     rows = shards.select("part", "base", "doc_ids", "counts", "codes").mapInArrow(read, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(before, "part").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return read_token_codes(write_token_codes(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, cut=CUT, fold=True))
+    return read_token_codes(write_token_codes(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2))
