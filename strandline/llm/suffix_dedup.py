@@ -9,9 +9,8 @@ each of which moves packed arrays, one row for a pair of chunk (of documents) an
 2. each chunk sends the texts of such runs, equal texts once (for the smallest id; the repeats of the
    chunk are decided there and then), so a passage in any number of documents is sent once a chunk;
 3. a bucket sorts the suffixes of its texts by bucket-pointer refinement: initial q-gram buckets are
-   refined by sorting on the bucket pointers of later offsets, and each round reuses the pointers that
-   the one before has updated, until buckets are equal in `length` bytes; the smallest id of a
-   bucket keeps it, all others give it up;
+   refined by sorting on the bucket pointers of later offsets, and updated pointers are reused recursively,
+   until buckets are known to `length` bytes; the smallest id of a bucket keeps it, all others give it up;
 4. each chunk merges what it gets back and cuts its documents.
 
 The text is exchanged once: all steps group the same exchange of documents by chunk. Nothing is broadcast or collected.
@@ -28,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, buckets_for, mix, packed8, ranges, table, text_buffers
+from .common import U, buckets_for, col, mix, packed8, ranges, table, text_buffers
 
 LENGTH, GRAM, PIECE = 50, 20, 1 << 18
 NO_ID = (1 << 63) - 1
@@ -100,39 +99,62 @@ def _sorted_triples(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray
     return a[order], b[order], order
 
 
-Q_BYTES = 5
+#: Bytes of the initial buckets, and the parts in which buckets are refined, one part to the end before the next.
+Q_BYTES, TURNS = 5, 6
 
 
 def suffix_buckets(text: np.ndarray, end: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Bucket pointers of the suffixes that start at the positions `at`, equal if their first `depth` bytes are.
-
-    end: for each position of text the end of its string. Positions of `at` have depth bytes left. Pointers are ranks
-    in the order of the suffixes cut to depth bytes, so they also are a bounded suffix array.
+    """Ranks of the strings of `depth` bytes that start at the positions `at`, equal if the strings are.
+
+    end: for each position of text the end of its string. Positions of `at` have depth bytes left.
+    All suffixes fall into initial buckets by their first bytes; a suffix points at its bucket, the rank of the
+    bucket's first suffix. A bucket whose suffixes share `known` bytes is refined by the pointers that are `known`
+    bytes later, and its suffixes' pointers are updated at once; its parts are refined in the same way until they
+    are single or known to `depth`. Buckets are refined in some turns, in their order: what a turn has
+    updated, known to many bytes, is reused by itself and by the turns behind it, whose recursion ends sooner.
     """
     n = len(text)
-    key = packed8(np.concatenate([text, np.zeros(7, np.uint8)])) >> U(8 * (8 - Q_BYTES))
+    eight = packed8(np.concatenate([text, np.zeros(7, np.uint8)]))
+    key = eight >> U(8 * (8 - Q_BYTES))
     high, low, order = _sorted_triples(key >> U(20), key & U((1 << 20) - 1), max(n, 1 << 20))
     head = np.empty(n, bool)
     head[:1], head[1:] = True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])
-    pointer = np.empty(n, np.int64)
-    pointer[order] = np.flatnonzero(head)[np.cumsum(head) - 1]
-    d = min(Q_BYTES, depth)
-    while d < depth:
-        step = min(d, depth - d)
-        size = np.bincount(pointer, minlength=n)
-        # Whole buckets are refined, by the pointers one step later; only positions whose string goes on so far matter.
-        live = np.flatnonzero((size[pointer] > 1) & (np.arange(n) + d + step <= end))
-        p, q, place = _sorted_triples(pointer[live], pointer[live + step], n)
-        fresh = np.empty(len(live), bool)
-        fresh[:1], fresh[1:] = True, p[1:] != p[:-1]
-        head = fresh.copy()
-        head[1:] |= q[1:] != q[:-1]
-        if len(live):
-            first, begin = np.flatnonzero(head)[np.cumsum(head) - 1], np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-            # Pointers of this round are read by the next one only, so all pointers are of one depth.
-            pointer[live[place]] = p + first - begin
-        d += step
-    return pointer[at]
+    # Behind the text there is a bucket of its own, smaller than all.
+    pointer, known = np.zeros(n + 1, np.int64), np.full(n + 1, Q_BYTES, np.int64)
+    pointer[order], known[n] = np.flatnonzero(head)[np.cumsum(head) - 1] + 1, 1 << 40
+    wanted = np.minimum(end - np.arange(n), depth)
+    first = np.flatnonzero(head)
+    size = np.diff(np.append(first, n))
+    open_ = (size > 1) & (np.maximum.reduceat(wanted[order], first) > Q_BYTES) if n else np.zeros(0, bool)
+    todo, upto = order[np.repeat(open_, size)], np.cumsum(size[open_])
+    cuts = [0, *(int(upto[min(np.searchsorted(upto, len(todo) * k // TURNS), len(upto) - 1)]) for k in range(1, TURNS + 1))] if len(todo) else [0]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        live = todo[lo:hi]
+        while len(live):
+            later = np.minimum(live + known[live], n)
+            p, q, place = _sorted_triples(pointer[live], pointer[later], n + 1)
+            fresh = np.empty(len(live), bool)
+            fresh[:1], fresh[1:] = True, p[1:] != p[:-1]
+            head = fresh.copy()
+            head[1:] |= q[1:] != q[:-1]
+            first, begin = np.flatnonzero(head), np.flatnonzero(fresh)
+            size = np.diff(np.append(first, len(live)))
+            later = later[place]
+            deep = known[live[place[first]]] + np.minimum.reduceat(known[later], first)
+            live = live[place]
+            pointer[live] = p + np.repeat(first, size) - begin[np.cumsum(fresh) - 1]
+            known[live] = np.repeat(deep, size)
+            live = live[np.repeat((size > 1) & (np.maximum.reduceat(wanted[live], first) > deep), size)]
+    # Suffixes are in order now as far as `depth`, some farther: equal strings are neighbours, and are told by their bytes.
+    order = np.argsort(pointer[at], kind="stable")
+    a, same = at[order], np.ones(max(0, len(at) - 1), bool)
+    for k in [*range(0, depth - 7, 8), *([depth - 8] if depth % 8 else [])]:
+        x = eight[a + k]
+        same &= x[1:] == x[:-1]
+    first = np.flatnonzero(np.append(True, ~same)) if len(a) else np.zeros(0, np.int64)
+    out = np.empty(len(at), np.int64)
+    out[order] = np.repeat(first, np.diff(np.append(first, len(a))))
+    return out
 
 
 def _pack(x: np.ndarray, kind) -> bytes:
@@ -335,7 +357,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not 8 < gram <= length:
         raise ValueError("a gram has more than 8 bytes and fits the length")
     n = chunks or chunk_count(docs)
-    own = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).withColumn("h", F.coalesce(F.xxhash64("t"), F.lit(0)))
+    own = docs.select(col(id_col).cast("long").alias("d"), col(text_col).alias("t")).withColumn("h", F.coalesce(F.xxhash64("t"), F.lit(0)))
     own = own.withColumn("chunk", F.pmod(F.xxhash64("d", "h"), F.lit(n)).cast("int"))
     by_chunk = own.groupBy("chunk")
     hashes = by_chunk.applyInArrow(_send_hashes(n, length, gram), "bucket int, chunk int, m binary, two binary")
