@@ -349,44 +349,60 @@ def verified(pairs: DataFrame, classes: DataFrame, own: DataFrame, words: int, p
     return texts.select("a", "deal", "b", "text").groupBy("a", "deal").applyInArrow(_verify(words, percent), "a long, b long")
 
 
+def _tile(rows, others, node, comp, n, bits, percent: int, same: bool):
+    """(a, b) of a tile: members of rows and of others, ascending in n, that are in different components and may be similar."""
+    low, high = np.searchsorted(n[others] * 100, n[rows] * percent, "left"), np.searchsorted(n[others] * percent, n[rows] * 100, "right")
+    a, b = [], []
+    for x, lo, hi in zip(rows.tolist(), low.tolist(), high.tolist(), strict=True):
+        j = others[lo:hi]
+        j = j[(comp[j] != comp[x]) & (node[j] > node[x])] if same else j[comp[j] != comp[x]]
+        if len(j):
+            d = np.bitwise_count(bits[j] ^ bits[x]).sum(1)
+            j = j[d <= (n[j] + n[x]) * (100 - percent) // (100 + percent)]
+            a.append(np.full(len(j), x))
+            b.append(j)
+    return a, b
+
+
 def _cross(percent: int):
-    """Pairs of a tile, one member of each side, in different components, that sizes and sketches leave possible."""
+    """The possible pairs of the tiles that a task call holds, tile by tile."""
 
     def cross(t):
         import pyarrow as pa
 
-        node, comp, n, tile = (t.column(c).to_numpy() for c in ("node", "component", "n", "tile"))
+        gid, left, right, tile, node, comp, n = (t.column(c).to_numpy() for c in ("gid", "i", "j", "tile", "node", "component", "n"))
         bits = np.stack([t.column(c).to_numpy() for c in SKETCH], 1).view(U)
-        left, right = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        rows, others = np.flatnonzero(tile == left), np.flatnonzero(tile == right)
-        others = others[np.argsort(n[others], kind="stable")]
-        low, high = np.searchsorted(n[others] * 100, n[rows] * percent, "left"), np.searchsorted(n[others] * percent, n[rows] * 100, "right")
-        out_a, out_b = [], []
-        for x, lo, hi in zip(rows.tolist(), low.tolist(), high.tolist(), strict=True):
-            j = others[lo:hi]
-            j = j[comp[j] != comp[x]]
-            if left == right:
-                j = j[node[j] > node[x]]
-            if len(j):
-                d = np.bitwise_count(bits[j] ^ bits[x]).sum(1)
-                j = j[d <= (n[j] + n[x]) * (100 - percent) // (100 + percent)]
-                out_a.append(np.full(len(j), node[x]))
-                out_b.append(node[j])
-        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
+        order = np.lexsort((n, tile, right, left, gid))
+        new = np.ones(len(order), bool)
+        key = np.stack([gid[order], left[order], right[order]])
+        new[1:] = (key[:, 1:] != key[:, :-1]).any(0)
+        edge = np.append(np.flatnonzero(new), len(order))
+        a, b = [], []
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            own = order[lo:hi]
+            cut = int(np.searchsorted(tile[own], left[own[0]], "right"))
+            same = left[own[0]] == right[own[0]]
+            x, y = _tile(own[:cut], own if same else own[cut:], node, comp, n, bits, percent, same)
+            a += x
+            b += y
+        a, b = (node[np.concatenate(x)] if x else np.zeros(0, np.int64) for x in (a, b))
         return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
     return cross
 
 
-def _unconnected(member: DataFrame, label: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Possible pairs of groups whose members are in several components; a member meets each tile of its group once."""
+def _unconnected(member: DataFrame, label: DataFrame, classes: DataFrame, percent: int, calls: int) -> DataFrame:
+    """Possible pairs of groups whose members are in several components; a member meets each tile of its group once.
+
+    Groups are many and mostly small, so tiles are dealt out by hash over `calls` calls.
+    """
     known = member.join(label, "node")
     mixed = known.groupBy("gid").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("c"), F.max("component").alias("d")).filter("c != d")
     rows = known.join(mixed.select("gid", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "gid").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
     rows = rows.join(classes.select("node", "n", *SKETCH), "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("gid", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "node", "component", "n", *SKETCH)
-    return rows.groupBy("gid", "i", "j").applyInArrow(_cross(percent), "a long, b long").distinct()
+    rows = rows.withColumn("call", F.pmod(F.xxhash64("gid", "i", "j"), F.lit(calls)).cast("int")).repartition(max(1, calls // 4), "call")
+    return rows.groupBy("call").applyInArrow(_cross(percent), "a long, b long").distinct()
 
 
 def _pair(a: str, b: str) -> list:
@@ -420,7 +436,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     stars = written(member.join(hub, "gid").filter("hub != node").select("hub", *_pair("hub", "node")).groupBy("x", "y").agg(F.min("hub").alias("a")).select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b")), "stars")
     links = written(verified(stars, classes, own, words, percent), "links")
     label = written(_labels(links, classes), "labels")
-    rest = _unconnected(member, label, classes, percent).join(stars.select(*_pair("a", "b")).toDF("a", "b"), ["a", "b"], "left_anti")
+    rest = _unconnected(member, label, classes, percent, 4 * buckets).join(stars.select(*_pair("a", "b")).toDF("a", "b"), ["a", "b"], "left_anti")
     rest = written(rest, "rest")
     if not rest.isEmpty():
         more = written(verified(rest, classes, own, words, percent), "links")
