@@ -86,6 +86,19 @@ def buckets_for(spark: SparkSession, df: DataFrame, per: int = 8 << 20, least: i
     return int(min(most, max(least, size // per + 1)))
 
 
+def give_back() -> None:
+    """Returns memory that the allocators of a Python worker keep: workers live on, beside those of later stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which has no such call
+        pass
+
+
 U = np.uint64
 
 

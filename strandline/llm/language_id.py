@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, fresh, slices, table, text_buffers
+from .common import col, fresh, give_back, slices, table, text_buffers
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 PER_LANG, MOST_LANGS, PIECE_CHARS, EPOCHS, BATCH, SEED = 1200, 1000, 1024, 6, 64, 11
@@ -236,6 +236,7 @@ def _predict_beside(docs: DataFrame, net: ByteConvNet | None, text_col: str, sli
 
         for batch, pred, score in _scored(batches, net, text, letters, slice_bytes):
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pred, score], [*docs_columns, pred_name, score_name])
+        give_back()
 
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 

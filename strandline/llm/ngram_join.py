@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U, buckets_for, col, fresh, mix, packed8, slices, table, text_buffers, written
+from .common import U, buckets_for, col, fresh, give_back, mix, packed8, slices, table, text_buffers, written
 from .graph import components
 
 WORDS, PERCENT, SKETCH_BITS, SLICE = 4, 85, 512, 1 << 20
@@ -254,6 +254,7 @@ def _keys(words: int, percent: int, buckets: int, bits: int):
                 held_k, held_s, held = [], [], 0
         if held:
             yield packed()
+        give_back()
 
     return run
 

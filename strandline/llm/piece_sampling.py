@@ -31,9 +31,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, mix, ranges, slices, table, text_buffers, uniform
+from .common import U, give_back, mix, ranges, slices, table, text_buffers, uniform
 
-SAMPLES, SEED, SLICE, SPACE = 2, 17, 3 << 20, "▁"
+SAMPLES, SEED, SLICE, SPACE = 2, 17, 1 << 19, "▁"
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
 
@@ -221,7 +221,7 @@ def _walk(lattice: Lattice, node: np.ndarray, key: np.ndarray, place: np.ndarray
 
 
 #: Words that are sampled at a time; the lattice of their words is shared by a whole slice.
-PART_WORDS = 150_000
+PART_WORDS = 40_000
 
 
 def sample_slice(pieces: Pieces, texts: list[str], keys: np.ndarray, k: int):
@@ -389,6 +389,7 @@ def sample_pieces(docs: DataFrame, model_path: str, k: int = SAMPLES, id_col: st
                     arrays.append(pa.array(cols[8], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
+        give_back()
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("key"))
     schema = SCHEMA.format(kind=own.schema["doc_id"].dataType.simpleString())
