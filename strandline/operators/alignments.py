@@ -76,32 +76,74 @@ def count_profile(cells: DataFrame, weights: DataFrame, neff: DataFrame, abc: Al
 MAX_END_GAPS, LEAST_COLUMNS = 0.1, 10
 
 
+#: Values of a block of columns that position_weights holds at a time.
+BLOCK_VALUES = 4_000_000
+
+
+def position_weights_of(a, g, letters: int, end_gap: int, share: float, least: int):
+    """(weights, effective numbers) of one alignment: a is rows by columns (codes, -1 for no cell), g the rows' global weights.
+
+    What a column's rows have in common with every column are products of 0/1 matrices, a block of columns at a time.
+    """
+    import numpy as np
+
+    rows, cols = a.shape
+    has = (a >= 0) & (a < letters)
+    hot = np.zeros((rows, cols * letters), np.float32)
+    r, c = np.nonzero(has)
+    hot[r, c * letters + a[r, c]] = 1
+    ends = (a == end_gap).astype(np.float32)
+    w_out, neff = np.zeros((rows, cols)), np.ones(cols)
+    for lo in range(0, cols, max(1, BLOCK_VALUES // max(1, cols * letters))):
+        own = has[:, lo : lo + max(1, BLOCK_VALUES // max(1, cols * letters))].astype(np.float32)
+        size = own.sum(0)
+        n = (own.T @ hot).reshape(-1, cols, letters).astype(np.float64)
+        usable = own.T @ ends <= np.float64(share) * size[:, None].astype(np.float64)
+        d = (n > 0).sum(2)
+        counted = usable & (d > 0)
+        term = np.where((n > 0) & counted[:, :, None], 1.0 / np.maximum(n * d[:, :, None], 1), 0.0)
+        raw = (hot.astype(np.float64) @ term.reshape(len(term), -1).T) * own
+        total, n_cols = raw.sum(0), counted.sum(1)
+        w = np.where(n_cols < least, g[:, None], raw / np.where(total > 0, total, 1)) * own
+        s = (w.T @ hot.astype(np.float64)).reshape(-1, cols, letters) * usable[:, :, None]
+        t = s.sum(2, keepdims=True)
+        f = np.where(t > 0, s / np.where(t > 0, t, 1), 0.0)
+        h = -np.where(f > 1e-10, f * np.log2(np.where(f > 1e-10, f, 1)), 0.0).sum((1, 2))
+        neff[lo : lo + len(h)] = np.where(n_cols > 0, 2.0 ** (h / np.maximum(n_cols, 1)), 1.0)
+        w_out[:, lo : lo + w.shape[1]] = w
+    return w_out, neff
+
+
 def position_weights(cells: DataFrame, abc: Alphabet, share: float = MAX_END_GAPS, least: int = LEAST_COLUMNS) -> tuple[DataFrame, DataFrame]:
     """(ali, i, k, w; ali, i, neff): weights and effective numbers from the sub-alignment of the rows that have a letter in column i.
 
-    Columns with the same rows share one computation: they are grouped by their list of rows first.
-    cells have end gaps marked. Fewer than `least` usable columns fall back on global weights.
+    An alignment is one call; rows that columns have in common are counted by matrix products, so what moves is the
+    cells, once. cells have end gaps marked. Fewer than `least` usable columns fall back on global weights.
     """
-    letters = cells.filter(F.col("a") < abc.any)
-    rows_of = letters.groupBy("ali", "i").agg(F.sort_array(F.collect_list("k")).alias("ks"))
-    sets = rows_of.groupBy("ali", "ks").agg(F.min("i").alias("sig"))
-    column_set = rows_of.join(sets, ["ali", "ks"]).select("ali", "i", "sig")
-    member = sets.select("ali", "sig", F.size("ks").alias("m"), F.explode("ks").alias("k"))
-    sub = member.join(cells.select("ali", "k", F.col("i").alias("j"), "a"), ["ali", "k"])
-    counts = sub.groupBy("ali", "sig", "m", "j", "a").agg(F.count(F.lit(1)).alias("n"))
-    column = counts.groupBy("ali", "sig", "m", "j").agg(F.sum(F.when(F.col("a") == abc.end_gap, F.col("n")).otherwise(0)).alias("e"), F.sum(F.when(F.col("a") < abc.any, 1).otherwise(0)).alias("d")).filter(F.col("e") <= F.lit(share) * F.col("m"))
-    usable = column.filter("d > 0").groupBy("ali", "sig").agg(F.count(F.lit(1)).alias("ncol"))
-    terms = counts.filter(F.col("a") < abc.any).join(column.filter("d > 0").select("ali", "sig", "j", "d"), ["ali", "sig", "j"]).select("ali", "sig", "j", "a", (F.lit(1.0) / (F.col("n") * F.col("d"))).alias("t"))
-    raw = sub.filter(F.col("a") < abc.any).join(terms, ["ali", "sig", "j", "a"]).groupBy("ali", "sig", "k").agg(F.sum("t").alias("raw"))
-    total = raw.groupBy("ali", "sig").agg(F.sum("raw").alias("total"))
-    w = member.join(raw, ["ali", "sig", "k"], "left").join(total, ["ali", "sig"], "left").join(usable, ["ali", "sig"], "left").join(global_weights(cells, abc).withColumnRenamed("w", "g"), ["ali", "k"])
-    w = w.select("ali", "sig", "k", F.coalesce("ncol", F.lit(0)).alias("ncol"), F.when(F.coalesce("ncol", F.lit(0)) < least, F.col("g")).otherwise(F.coalesce(F.col("raw") / F.col("total"), F.lit(0.0))).alias("w"))
-    s = sub.filter(F.col("a") < abc.any).join(column.select("ali", "sig", "j"), ["ali", "sig", "j"]).join(w, ["ali", "sig", "k"]).groupBy("ali", "sig", "ncol", "j", "a").agg(F.sum("w").alias("s"))
-    t = s.groupBy("ali", "sig", "j").agg(F.sum("s").alias("t"))
-    f = s.join(t, ["ali", "sig", "j"]).withColumn("f", F.when(F.col("t") > 0, F.col("s") / F.col("t")).otherwise(F.lit(0.0)))
-    h = f.groupBy("ali", "sig", "ncol").agg((-F.sum(F.when(F.col("f") > F.lit(1e-10), F.col("f") * F.log2("f")).otherwise(F.lit(0.0)))).alias("h"))
-    neff = sets.select("ali", "sig").join(h, ["ali", "sig"], "left").select("ali", "sig", F.when(F.coalesce("ncol", F.lit(0)) > 0, F.pow(F.lit(2.0), F.coalesce("h", F.lit(0.0)) / F.col("ncol"))).otherwise(F.lit(1.0)).alias("neff"))
-    return column_set.join(w, ["ali", "sig"]).select("ali", "i", "k", "w"), column_set.join(neff, ["ali", "sig"]).select("ali", "i", "neff")
+    kinds = {c: cells.schema[c].dataType.simpleString() for c in ("ali", "i", "k")}
+    own = cells.select("ali", "i", "k", F.col("a").cast("int").alias("a")).join(global_weights(cells, abc).select("ali", "k", F.col("w").alias("g")), ["ali", "k"], "left").select("ali", "i", "k", "a", "g")
+
+    def run(of_rows: bool):
+        def weigh(t):
+            import numpy as np
+            import pyarrow as pa
+
+            ks, k = np.unique(t.column("k").to_numpy(), return_inverse=True)
+            js, j = np.unique(t.column("i").to_numpy(), return_inverse=True)
+            a, g = np.full((len(ks), len(js)), -1), np.zeros(len(ks))
+            a[k, j] = t.column("a").fill_null(abc.end_gap).to_numpy()
+            g[k] = t.column("g").fill_null(0.0).to_numpy()
+            w, neff = position_weights_of(a, g, abc.any, abc.end_gap, share, least)
+            c, r = np.nonzero(((a >= 0) & (a < abc.any)).T) if of_rows else (np.flatnonzero(((a >= 0) & (a < abc.any)).any(0)), None)
+            ali = t.column("ali").combine_chunks().take(pa.array(np.zeros(len(c), np.int64)))
+            out = {"ali": ali, "i": pa.array(js[c]).cast(t.schema.field("i").type)}
+            out |= {"k": pa.array(ks[r]).cast(t.schema.field("k").type), "w": pa.array(w[r, c])} if of_rows else {"neff": pa.array(neff[c])}
+            return pa.table(out)
+
+        return weigh
+
+    by = own.groupBy("ali")
+    return by.applyInArrow(run(True), f"ali {kinds['ali']}, i {kinds['i']}, k {kinds['k']}, w double"), by.applyInArrow(run(False), f"ali {kinds['ali']}, i {kinds['i']}, neff double")
 
 
 def match_by_reference(cells: DataFrame, abc: Alphabet, reference: int = 0) -> DataFrame:

@@ -67,13 +67,33 @@ def kmer_distances(counts: DataFrame, id_col: str = "id") -> DataFrame:
     return s.select("a", "b", "shared", (F.lit(1.0) - F.col("shared") / F.least("ta", "tb")).alias("distance"))
 
 
+# Accepted point mutations of 100 letters for 75.0, 75.1, ..., 93.0 % of differing letters.
+PAMS = (
+    195, 196, 197, 198, 199, 200, 200, 201, 202, 203, 204, 205, 206, 207, 208, 209, 209, 210, 211, 212,
+    213, 214, 215, 216, 217, 218, 219, 220, 221, 222, 223, 224, 226, 227, 228, 229, 230, 231, 232, 233,
+    234, 236, 237, 238, 239, 240, 241, 243, 244, 245, 246, 248, 249, 250, 252, 253, 254, 255, 257, 258,
+    260, 261, 262, 264, 265, 267, 268, 270, 271, 273, 274, 276, 277, 279, 281, 282, 284, 285, 287, 289,
+    291, 292, 294, 296, 298, 299, 301, 303, 305, 307, 309, 311, 313, 315, 317, 319, 321, 323, 325, 328,
+    330, 332, 335, 337, 339, 342, 344, 347, 349, 352, 354, 357, 360, 362, 365, 368, 371, 374, 377, 380,
+    383, 386, 389, 393, 396, 399, 403, 407, 410, 414, 418, 422, 426, 430, 434, 438, 442, 447, 451, 456,
+    461, 466, 471, 476, 482, 487, 493, 498, 504, 511, 517, 524, 531, 538, 545, 553, 560, 569, 577, 586,
+    595, 605, 615, 626, 637, 649, 661, 675, 688, 703, 719, 736, 754, 775, 796, 819, 845, 874, 907, 945,
+    988,
+)
+
+
 def kimura(p):
-    """Distance of a share of differing letters: -ln(1 - p - p * p / 5) below 0.75; 10 above 0.93 or where it has no value.
+    """Distance of a share of differing letters: -ln(1 - p - p * p / 5) below 0.75, a table of mutations to 0.93, 10 above."""
+    at = F.floor((p - F.lit(0.75)) * 1000 + F.lit(0.5)).cast("int") + 1
+    table = F.element_at(F.array(*[F.lit(x) for x in PAMS]), F.greatest(at, F.lit(1))) / F.lit(100.0)
+    return F.when(p < F.lit(0.75), -F.ln(F.lit(1.0) - p - p * p / F.lit(5.0))).when(p > F.lit(0.93), F.lit(10.0)).otherwise(table)
 
-    Between the two it goes on with the same formula as far as that is defined.
-    """
-    inner = F.lit(1.0) - p - p * p / F.lit(5.0)
-    return F.when(p > F.lit(0.93), F.lit(10.0)).when(inner > 0, -F.ln(inner)).otherwise(F.lit(10.0))
+
+def kimura_distances(cells: DataFrame, size: int) -> DataFrame:
+    """ali, x, y, d of all rows x < y of an alignment; 10 where no column has a letter of both."""
+    rows = cells.select("ali", "k").distinct()
+    pairs = rows.select("ali", F.col("k").alias("x")).join(rows.select("ali", F.col("k").alias("y")), "ali").filter("x < y")
+    return pairs.join(aligned_differences(cells, size), ["ali", "x", "y"], "left").select("ali", "x", "y", F.coalesce(kimura(F.col("p")), F.lit(10.0)).alias("d"))
 
 
 def aligned_differences(cells: DataFrame, size: int) -> DataFrame:

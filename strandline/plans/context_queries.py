@@ -137,8 +137,10 @@ def neff_interval_pairs(spark, sf_dir):
 
 @query("SELECT o_custkey AS id, bit_or((1 << CAST(date_part('month', o_orderdate) AS INT))::BIGINT) AS rounds, max(CAST(date_part('month', o_orderdate) AS INT)) AS last FROM orders GROUP BY 1")
 def round_sets(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.month("o_orderdate").alias("r"))
-    return o.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, r)")).alias("rounds"), F.max("r").alias("last"))
+    from ..sources.records import round_sets as grouped
+
+    names = table(spark, sf_dir, "orders").select(F.concat(F.col("o_custkey").cast("string"), F.lit("_"), F.month("o_orderdate").cast("string"), F.lit(".prf")).alias("name"))
+    return grouped(names).select(F.col("id").cast("long").alias("id"), "rounds", "last")
 
 
 SEQ = EVENTS + ", sq AS (SELECT id, string_agg(a::VARCHAR, '' ORDER BY pos) AS seq, count(*) AS l FROM ev GROUP BY id)"
@@ -154,14 +156,26 @@ def kmer_distance(spark, sf_dir):
     return d.select("a", "b", "shared", r6(F.col("distance")).alias("distance"))
 
 
+KIMURA = f""", q AS (SELECT x.ali, x.k AS x, y.k AS y FROM (SELECT DISTINCT ali, k FROM cells) x JOIN (SELECT DISTINCT ali, k FROM cells) y ON y.ali = x.ali AND x.k < y.k)
+SELECT q.ali, q.x, q.y, round(CASE WHEN p IS NULL OR p > 0.93::DOUBLE THEN 10 WHEN p < 0.75::DOUBLE THEN -ln(1 - p - p * p / 5) ELSE list_extract({list(sequences.PAMS)}, floor((p - 0.75::DOUBLE) * 1000 + 0.5::DOUBLE)::INT + 1) / 100::DOUBLE END, 6) + 0 AS d FROM q LEFT JOIN p ON p.ali = q.ali AND p.x = q.x AND p.y = q.y"""
+
+
 @query(f"""WITH {CELLS}, p AS (SELECT x.ali, x.k AS x, y.k AS y, sum(CASE WHEN x.a <> y.a THEN 1 ELSE 0 END)::DOUBLE / count(*) AS p FROM cells x JOIN cells y ON y.ali = x.ali AND y.i = x.i AND x.k < y.k WHERE x.a < 4 AND y.a < 4 GROUP BY 1, 2, 3)
-SELECT ali, x, y, round(CASE WHEN p > 0.93::DOUBLE THEN 10 WHEN 1 - p - p * p / 5 > 0 THEN -ln(1 - p - p * p / 5) ELSE 10 END, 6) + 0 AS d FROM p""")
+{KIMURA}""")
 def kimura_distance(spark, sf_dir):
     from ..functions.alphabets import DNA
     from ..operators.alignments import mark_end_gaps
 
-    p = sequences.aligned_differences(mark_end_gaps(embedding_cells(spark, sf_dir), DNA), DNA.size)
-    return p.select("ali", "x", "y", r6(sequences.kimura(F.col("p"))).alias("d"))
+    d = sequences.kimura_distances(mark_end_gaps(embedding_cells(spark, sf_dir), DNA), DNA.size)
+    return d.select("ali", "x", "y", r6(F.col("d")).alias("d"))
+
+
+@query("""WITH p AS (SELECT l_orderkey % 1000 AS n, 0.7::DOUBLE + (l_orderkey % 1000)::DOUBLE / 4000::DOUBLE AS p FROM lineitem GROUP BY ALL)
+SELECT n, round(CASE WHEN p < 0.75::DOUBLE THEN -ln(1 - p - p * p / 5) WHEN p > 0.93::DOUBLE THEN 10 ELSE list_extract(""" + str(list(sequences.PAMS)) + """, floor((p - 0.75::DOUBLE) * 1000 + 0.5::DOUBLE)::INT + 1) / 100::DOUBLE END, 6) + 0 AS d FROM p""")
+def kimura_range(spark, sf_dir):
+    """Distances of shares from 0.7 to 0.95: the formula, the table and what is beyond it."""
+    n = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 1000).alias("n")).distinct()
+    return n.select("n", r6(sequences.kimura(F.lit(0.7) + F.col("n").cast("double") / F.lit(4000.0))).alias("d"))
 
 
 @query(f"""WITH {SCORES}, b AS (SELECT * FROM pp WHERE pp >= 0.5::DOUBLE), r AS (SELECT x.id, x.pos AS i, y.pos AS j, log2(sum(x.pp * y.pp / prior)) AS s FROM b x JOIN b y ON y.id = x.id AND y.k = x.k AND x.pos <> y.pos AND abs(x.pos - y.pos) <= 10 JOIN state ON state.k = x.k GROUP BY 1, 2, 3)

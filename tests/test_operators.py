@@ -212,3 +212,14 @@ def test_block_em_stream(spark, tmp_path):
     assert len(em.lls) == 1 and sum(r.prior for r in em.prior.collect()) == pytest.approx(1)
     em(spark.createDataFrame(rows, "wid int, j int, a int, v double"), 0)  # a repeated batch
     assert len(em.lls) == 1
+
+
+def test_kimura_follows_the_table(spark):
+    """Formula, table and what is beyond: values of the published table."""
+    p = [0.0, 0.5, 0.749, 0.75, 0.803, 0.86, 0.929, 0.93, 0.931, 1.0]
+    want = [0.0, 0.798508, 1.974723, 1.95, 2.5, 3.54, 9.45, 9.88, 10.0, 10.0]
+    df = spark.createDataFrame([(x,) for x in p], "p double")
+    got = [r.d for r in df.select("p", sequences.kimura(F.col("p")).alias("d")).orderBy("p").collect()]
+    assert got == pytest.approx(want, abs=2e-3) and len(sequences.PAMS) == 181
+    cells = spark.createDataFrame([(0, 0, 0, 1), (0, 1, 0, 4), (0, 0, 1, 4), (0, 1, 1, 1)], "ali int, i int, k int, a int")
+    assert [tuple(r) for r in sequences.kimura_distances(cells, 4).collect()] == [(0, 0, 1, 10.0)]
