@@ -204,10 +204,39 @@ def _base(words: int, bits: int):
     return run
 
 
+#: Members from which lists of a batch that share a member are sent as one.
+LONG_LIST = 8
+
+
+def _name(s: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A name for each list of sets."""
+    return mix(np.add.reduceat(mix(s), first) + size.astype(U) * U(0xC2B2AE3D27D4EB4F)) if len(first) else np.zeros(0, U)
+
+
+def families(s: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For lists one after the other: (family of each list, members of the families, number of each); lists that share a member are of one."""
+    first = np.cumsum(size) - size
+    member, of = np.unique(s, return_inverse=True)
+    label = np.arange(len(member))
+    while True:
+        least = np.repeat(np.minimum.reduceat(label[of], first), size)
+        new = label.copy()
+        np.minimum.at(new, of, least)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    order = np.argsort(label, kind="stable")
+    _, family, count = np.unique(label, return_inverse=True, return_counts=True)
+    return family[of[first]], member[order], count
+
+
 def gathered(k: np.ndarray, s: np.ndarray, buckets: int) -> list[tuple]:
     """Rows (bucket, keys, names, list name) of the keys k of the sets s.
 
-    Sets that agree in a key are sent under one name, that of their list; a list is a row of its own.
+    Sets that agree in a key are sent under one name, that of their list; a list is a row of its own. The keys of a large
+    family have nearly equal lists, so long lists that share a member are one: a member is in one long list of a batch
+    only, and a list that says too much only adds pairs to verify.
     """
     b = k % U(buckets)
     order = np.lexsort((s, k, b))
@@ -217,12 +246,22 @@ def gathered(k: np.ndarray, s: np.ndarray, buckets: int) -> list[tuple]:
     k, s, b = k[new], s[new], b[new]
     first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
     size = np.diff(np.append(first, len(k)))
-    name = np.where(size > 1, mix(np.add.reduceat(mix(s), first) + size.astype(U) * U(0xC2B2AE3D27D4EB4F)), s[first])
-    rows: list[tuple] = []
-    many = np.flatnonzero(size > 1)
-    lists, at = np.unique(name[many], return_index=True)
-    for x, g in zip(lists.tolist(), many[at].tolist(), strict=True):
-        rows.append((x % buckets, None, s[first[g] : first[g] + size[g]].tobytes(), int(U(x).view(np.int64))))
+    name, rows = s[first].copy(), []
+    short, long = (size > 1) & (size < LONG_LIST), size >= LONG_LIST
+
+    def add(names: np.ndarray, members: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        once, pick = np.unique(names, return_index=True)
+        for x, g in zip(once.tolist(), pick.tolist(), strict=True):
+            rows.append((x % buckets, None, members[at[g] : at[g] + n[g]].tobytes(), int(U(x).view(np.int64))))
+
+    if short.any():
+        name[short] = _name(s, first, size)[short]
+        add(name[short], s, first[short], size[short])
+    if long.any():
+        of, members, n = families(s[np.repeat(long, size)], size[long])
+        names = _name(members, np.cumsum(n) - n, n)
+        name[long] = names[of]
+        add(names, members, np.cumsum(n) - n, n)
     k, b = (k[first] >> U(32)).astype(np.uint32), b[first]
     at = np.append(np.flatnonzero(np.append(True, b[1:] != b[:-1])), len(b))
     rows += [(int(b[x]), k[x:y].tobytes(), name[x:y].tobytes(), None) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]

@@ -176,6 +176,17 @@ def test_members_of_a_key_are_sent_under_one_name():
     assert len(names) == 201 and next(iter(lists)) in names.tolist()
 
 
+def test_long_lists_that_share_members_are_one():
+    """A family of 200 near copies: 500 keys, each of most of them; its members are sent once, and every key's sets are together."""
+    rng = np.random.default_rng(6)
+    sets = rng.integers(0, 1 << 62, 200).astype(np.uint64)
+    pairs_ = [(key, x) for key in range(500) for x in sets[rng.random(200) < 0.8].tolist()] + [(1000 + k, 7 + k // 3) for k in range(30)]
+    k, s = (np.array(x, np.uint64) for x in zip(*pairs_, strict=True))
+    rows = ngram_join.gathered(k << np.uint64(33), s, 7)
+    lists = {r[3]: set(np.frombuffer(r[2], np.uint64).tolist()) for r in rows if r[1] is None}
+    assert sum(map(len, lists.values())) <= 200 + 30 and any(len(x) == 200 for x in lists.values())
+
+
 def test_exact_grams_are_the_grams_of_words():
     r = random.Random(3)
     texts = [[r.randint(0, 3) for _ in range(r.randint(0, 12))] for _ in range(40)]
