@@ -86,7 +86,7 @@ def kimura(p):
     """Distance of a share of differing letters: -ln(1 - p - p * p / 5) below 0.75, a table of mutations to 0.93, 10 above."""
     at = F.floor((p - F.lit(0.75)) * 1000 + F.lit(0.5)).cast("int") + 1
     table = F.element_at(F.array(*[F.lit(x) for x in PAMS]), F.greatest(at, F.lit(1))) / F.lit(100.0)
-    return F.when(p < F.lit(0.75), -F.ln(F.lit(1.0) - p - p * p / F.lit(5.0))).when(p > F.lit(0.93), F.lit(10.0)).otherwise(table)
+    return F.when(p.isNull(), F.lit(None)).when(p < F.lit(0.75), -F.ln(F.lit(1.0) - p - p * p / F.lit(5.0))).when(p > F.lit(0.93), F.lit(10.0)).otherwise(table)
 
 
 def kimura_distances(cells: DataFrame, size: int) -> DataFrame:
