@@ -135,6 +135,11 @@ def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 
 
+def stem(path: Column) -> Column:
+    """The name of a file without its last extension."""
+    return F.regexp_replace(base_name(path), r"\.[^.]*$", "")
+
+
 def directory(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 

@@ -40,6 +40,25 @@ def relation(a: Column, b: Column, levels: int = 4) -> Column:
     return n
 
 
+# Families of labels whose members may be related although their labels differ, by pattern.
+RELATED = (
+    r"^b\.(66|67|68|69|70)",
+    r"c\.(2|3|4|5|30|66|78|79|111)\.",
+    r"(a\.118\.24)|(d\.211\.1)",
+    r"(a\.1\.2)|(d\.58\.1)",
+)
+# Fixed value: labels that say nothing about a relation.
+UNSURE = r"i\."
+
+
+def excepted(a: Column, b: Column) -> Column:
+    """Whether two labels that seem unrelated are not to count as false: both of one family, or one of them unsure."""
+    out = a.rlike(UNSURE) | b.rlike(UNSURE)
+    for x in RELATED:
+        out = out | (a.rlike(x) & b.rlike(x))
+    return out
+
+
 def classified(rel: Column, tp_from: int = 3, fp_to: int = 1, itself: int = 5, excepted: Column | None = None) -> Column:
     """TP from a relation on, FP up to one, null between, for the hit itself and for excepted pairs."""
     out = F.when(rel == itself, F.lit(None).cast("string")).when(rel >= tp_from, "TP").when(rel <= fp_to, "FP")
@@ -141,8 +160,14 @@ def alignment_quality(predicted: DataFrame, reference: DataFrame, key: str = "pa
     return out.select(key, F.when(zero(F.col("np")) > 0, zero(F.col("ok")) / F.col("np")).otherwise(F.lit(0.0)).alias("precision"), (zero(F.col("ok")) / F.col("nr")).alias("sensitivity"))
 
 
-def accepted(pairs: DataFrame, tm: float = 0.6, rmsd: float = 4.0, low: float = 0.0, high: float = 0.3) -> DataFrame:
-    return pairs.filter((F.col("tm_score") >= tm) & (F.col("rmsd") <= rmsd) & F.col("identity").between(low, high))
+def accepted(pairs: DataFrame, tm: float | None = 0.6, rmsd: float | None = 4.0, low: float = 0.0, high: float = 0.3) -> DataFrame:
+    """Pairs with identities from low to high, a score of at least tm and a deviation of at most rmsd; None asks for nothing."""
+    ok = F.col("identity").between(low, high)
+    if tm is not None:
+        ok = ok & (F.col("tm_score") >= tm)
+    if rmsd is not None:
+        ok = ok & (F.col("rmsd") <= rmsd)
+    return pairs.filter(ok)
 
 
 def found_by_all(found: DataFrame, methods: int, item: str = "pair", method: str = "method") -> DataFrame:

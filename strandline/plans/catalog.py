@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import alignment_queries, context_queries, learning_queries, ranking_queries  # noqa: F401
+    from . import alignment_queries, context_queries, learning_queries, ranking_queries, sampling_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
