@@ -18,38 +18,130 @@ from . import contexts
 # --- EM -------------------------------------------------------------------------------------
 
 
+#: Numbers of windows times (letters + states) that a task multiplies at a time.
+EM_VALUES = 4_000_000
+
+
+def gathered_windows(windows: DataFrame) -> DataFrame:
+    """wid, cells (j, a, v): windows (wid, j, a, v) as one row each, so that a round is a pass without exchange of rows."""
+    return windows.groupBy("wid").agg(F.collect_list(F.struct(F.col("j").cast("int").alias("j"), F.col("a").cast("int").alias("a"), F.col("v").cast("double").alias("v"))).alias("cells"))
+
+
+@dataclass
+class Mixture:
+    """Parameters of context states on the driver: p (K, W, A), prior (K), background (A) and weights (W), with the ids of each axis."""
+
+    p: np.ndarray
+    prior: np.ndarray
+    background: np.ndarray
+    weights: np.ndarray
+    ids: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+    @classmethod
+    def of(cls, model: DataFrame, prior: DataFrame, background: DataFrame, weights: DataFrame) -> "Mixture":
+        m, s, b, w = (t.toPandas() for t in (model.select("k", "j", "a", "p"), prior.select("k", "prior"), background.select("a", "p"), weights.select("j", "w")))
+        ids = tuple(np.unique(m[c].to_numpy()) for c in ("k", "j", "a"))
+        p = np.zeros([len(x) for x in ids])
+        p[tuple(np.searchsorted(x, m[c].to_numpy()) for x, c in zip(ids, ("k", "j", "a"), strict=True))] = m["p"].to_numpy()
+        ordered = [t.set_index(c)[v].loc[x].to_numpy(float) for t, c, v, x in ((s, "k", "prior", ids[0]), (b, "a", "p", ids[2]), (w, "j", "w", ids[1]))]
+        return cls(p, *ordered, ids)
+
+    def frames(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """(k, j, a, p) and (k, prior)."""
+        import pyarrow as pa
+
+        k, j, a = (x.astype(np.int32) for x in self.ids)
+        cells = [np.repeat(k, len(j) * len(a)), np.tile(np.repeat(j, len(a)), len(k)), np.tile(a, len(k) * len(j)), self.p.ravel()]
+        return spark.createDataFrame(pa.table(dict(zip(("k", "j", "a", "p"), cells, strict=True)))), spark.createDataFrame(pa.table({"k": k, "prior": self.prior}))
+
+
+def em_sums(cells: DataFrame, m: Mixture) -> DataFrame:
+    """state, cell, n: sums of the E step over windows that have a known letter, formed in the tasks.
+
+    Each task sends numbers of parameter size only: by state and cell (j * A + a) the weighted posteriors, with cell -1 the
+    posteriors, and with state -1 the windows (cell 0) and their log evidence (cell 1).
+    """
+    n_k, n_j, n_a = m.p.shape
+    with np.errstate(divide="ignore"):
+        table = ((np.log(m.p) - np.log(m.background)) * m.weights[:, None]).reshape(n_k, -1).T.copy()
+        lprior = np.log(m.prior)
+    table, lprior = np.maximum(table, -1e300), np.maximum(lprior, -1e300)  # what is impossible stays so without 0 * inf
+    js, letters, size = m.ids[1], m.ids[2], n_j * n_a
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        stats, total, seen, lse = np.zeros((size, n_k)), np.zeros(n_k), 0, 0.0
+        step = max(1, EM_VALUES // (size + n_k))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                own = batch.column(0).slice(lo, step)
+                flat, count = pc.list_flatten(own), pc.list_value_length(own).to_numpy(zero_copy_only=False)
+                j, a, v = (pc.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in ("j", "a", "v"))
+                row = np.repeat(np.arange(len(count)), count)
+                x, y = np.minimum(np.searchsorted(js, j), n_j - 1), np.minimum(np.searchsorted(letters, a), n_a - 1)
+                known = (js[x] == j) & (letters[y] == a)
+                counts = np.zeros((len(count), size))
+                np.add.at(counts, (row[known], (x * n_a + y)[known]), v[known])
+                counts = counts[np.bincount(row[known], minlength=len(count)) > 0]
+                s = counts @ table + lprior
+                top = s.max(1, keepdims=True)
+                e = np.exp(s - top)
+                z = e.sum(1, keepdims=True)
+                e /= z
+                stats += counts.T @ e
+                total += e.sum(0)
+                seen += len(counts)
+                lse += float((top + np.log(z)).sum())
+        states = np.arange(n_k, dtype=np.int32)
+        state = np.concatenate([np.tile(states, size), states, [-1, -1]]).astype(np.int32)
+        cell = np.concatenate([np.repeat(np.arange(size), n_k), np.full(n_k, -1), [0, 1]]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(state), pa.array(cell), pa.array(np.concatenate([stats.ravel(), total, [seen, lse]]))], ["state", "cell", "n"])
+
+    return cells.select("cells").mapInArrow(run, "state int, cell int, n double").groupBy("state", "cell").agg(F.sum("n").alias("n"))
+
+
+def em_round(cells: DataFrame, m: Mixture, pca: float) -> tuple[Mixture, float | None]:
+    """One E and M step over gathered windows, and the likelihood before it; without a window the parameters stay as they are."""
+    t = em_sums(cells, m).toArrow()
+    state, cell, n = (t.column(c).to_numpy() for c in ("state", "cell", "n"))
+    n_k, n_j, n_a = m.p.shape
+    seen, lse = (float(n[(state == -1) & (cell == c)].sum()) for c in (0, 1))
+    if not seen:
+        return m, None
+    stats, total = np.zeros((n_k, n_j * n_a)), np.zeros(n_k)
+    own = (state >= 0) & (cell >= 0)
+    stats[state[own], cell[own]] = n[own]
+    own = (state >= 0) & (cell == -1)
+    total[state[own]] = n[own]
+    p = stats.reshape(m.p.shape) + pca * m.background
+    return Mixture(p / p.sum(2, keepdims=True), total / total.sum(), m.background, m.weights, m.ids), lse / seen / float(m.weights.sum())
+
+
 def em_step(windows: DataFrame, model: DataFrame, prior: DataFrame, background: DataFrame, weights: DataFrame, pca: float = 0.01) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One E and M step: (k, j, a, p), (k, prior), one row with ll.
+    """One E and M step: (k, j, a, p), (k, prior), one row with ll (null without windows).
 
     windows (wid, j, a, v): counts of each window. ll is the mean log evidence per weighted column, with
-    the background taken off. The model's statistics start from pca * background.
+    the background taken off. The model's statistics start from pca * background. The step runs at the call, in one pass.
     """
-    m = model.join(background.select("a", F.ln("p").alias("lb")), "a").join(weights, "j").select("k", "j", "a", ((F.ln("p") - F.col("lb")) * F.col("w")).alias("s"))
-    score = windows.join(m, ["j", "a"]).groupBy("wid", "k").agg(F.sum(F.col("s") * F.col("v")).alias("score")).withColumnRenamed("wid", "id").withColumn("pos", F.lit(0))
-    pp = contexts.posteriors(score, prior).select(F.col("id").alias("wid"), "k", "pp")
-    stats = windows.join(pp, "wid").groupBy("k", "j", "a").agg(F.sum(F.col("v") * F.col("pp")).alias("n"))
-    base = model.join(background.select("a", F.col("p").alias("bg")), "a").select("k", "j", "a", (F.lit(float(pca)) * F.col("bg")).alias("b"))
-    s = base.join(stats, ["k", "j", "a"], "left").select("k", "j", "a", (F.col("b") + F.coalesce("n", F.lit(0.0))).alias("p"))
-    t = F.sum("p").over(Window.partitionBy("k", "j"))
-    fresh = s.select("k", "j", "a", (F.col("p") / t).alias("p"))
-    total = pp.groupBy("k").agg(F.sum("pp").alias("n"))
-    every = Window.partitionBy(F.lit(0))
-    priors = prior.join(total, "k", "left").select("k", (F.coalesce("n", F.lit(0.0)) / F.sum(F.coalesce("n", F.lit(0.0))).over(every)).alias("prior"))
-    w = weights.agg(F.sum("w").alias("w"))
-    ll = contexts.log_evidence(score, prior).agg(F.avg("lse").alias("m")).crossJoin(w).select((F.col("m") / F.col("w")).alias("ll"))  # one row each
-    return fresh, priors, ll
+    spark = windows.sparkSession
+    m, ll = em_round(gathered_windows(windows), Mixture.of(model, prior, background, weights), pca)
+    return *m.frames(spark), spark.createDataFrame([(ll,)], "ll double")
 
 
 def em(windows: DataFrame, model: DataFrame, prior: DataFrame, background: DataFrame, weights: DataFrame, pca: float = 0.01, tolerance: float = 1e-4, most: int = 100) -> tuple[DataFrame, DataFrame, list[float]]:
-    """EM until the gain is at most the tolerance; each round's model is checkpointed."""
-    lls: list[float] = []
+    """EM until the gain is at most the tolerance. Windows are gathered once; each round is one pass over them."""
+    m, lls = Mixture.of(model, prior, background, weights), []
+    cells = gathered_windows(windows).checkpoint()
     for _ in range(most):
-        model, prior, ll = em_step(windows, model, prior, background, weights, pca)
-        model, prior = model.checkpoint(), prior.checkpoint()
-        lls.append(ll.first()[0])
+        m, ll = em_round(cells, m, pca)
+        if ll is None:
+            break
+        lls.append(ll)
         if len(lls) > 1 and lls[-1] - lls[-2] <= tolerance:
             break
-    return model, prior, lls
+    return *m.frames(windows.sparkSession), lls
 
 
 def blended(old: DataFrame, new: DataFrame, eta: float, keys: list[str], v: str = "p") -> DataFrame:

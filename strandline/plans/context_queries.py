@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import contexts, sequences
 from .catalog import query
-from .inputs import BACKGROUND, CELLS, EVENTS, MODEL_SQL, PREDICTED, SCORES, SIZE, WIDTH, background, central, embedding_cells, event_cells, model, r6, states, table, weights
+from .inputs import BACKGROUND, CELLS, EVENTS, MODEL, MODEL_SQL, PREDICTED, PRIOR, SCORES, SIZE, WIDTH, WJ, background, central, embedding_cells, event_cells, model, r6, states, table, weights
 
 
 def _scores(spark, sf_dir, bg=False):
@@ -38,6 +40,14 @@ def ctx_posterior(spark, sf_dir):
     return _pp(spark, sf_dir).select("id", "pos", "k", r6(F.col("pp")).alias("pp"))
 
 
+@query(f"WITH {SCORES} SELECT id, pos, k, round(pp, 6) + 0 AS pp FROM pp")
+def ctx_posterior_dense(spark, sf_dir):
+    """The same by matrix products, the form for models of thousands of states; any letter adds nothing to a score."""
+    rows = [(k, j, a, math.log(p)) for k, j, a, p in MODEL]
+    pp = contexts.posteriors_dense(event_cells(spark, sf_dir), rows, PRIOR, WJ, SIZE, top=len(PRIOR))
+    return pp.select("id", "pos", "k", r6(F.col("pp")).alias("pp"))
+
+
 @query(f"WITH {SCORES} SELECT id, pos, k, round(pp, 6) + 0 AS pp, CASE WHEN pp > 0.8::DOUBLE THEN '|' WHEN pp > 0.6::DOUBLE THEN '+' WHEN pp > 0.4::DOUBLE THEN '.' WHEN pp > 0.2::DOUBLE THEN '-' ELSE '=' END AS mark FROM (SELECT *, row_number() OVER (PARTITION BY id, pos ORDER BY pp DESC, k) AS r FROM pp) WHERE r = 1")
 def ctx_argmax_state(spark, sf_dir):
     return contexts.best_state(_pp(spark, sf_dir)).select("id", "pos", "k", r6(F.col("pp")).alias("pp"), scalars.match_symbol(F.col("pp")).alias("mark"))
