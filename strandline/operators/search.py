@@ -1,7 +1,7 @@
 """Profile construction and iterated profile search.
 
-The search kernel is an ungapped scan: a profile's cells meet database letters by the letter, sums run
-along diagonals, and the best segment of each diagonal is a pair. Another kernel, such as an external
+The search kernel is an ungapped scan: tiles of profiles meet blocks of sequences, sums run along all
+diagonals at once, and the best segment of each diagonal is a pair. Another kernel, such as an external
 program, is any function (profiles, database) -> hits.
 """
 
@@ -13,8 +13,11 @@ import subprocess
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions.alphabets import Alphabet
 from . import alignments, contexts, ranking
@@ -43,24 +46,84 @@ class SearchOptions:
         return cls(**known, passed={k: v for k, v in options.items() if k not in own})
 
 
+#: Profiles, and letters of the database, that one call of the scan meets at a time.
+TILE, BLOCK = 256, 100_000
+
+
+def _diagonals(profile: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(gain, first row, last row) of the best segment of each diagonal d, which reads text[d + i] in row i.
+
+    All diagonals go together, row by row. Of equal gains the one that ends first and begins first is taken.
+    """
+    m = len(profile)
+    n = len(text) - m + 1
+    run, best = np.zeros(n), np.zeros(n)
+    begin, first, last = (np.zeros(n, np.int32) for _ in range(3))
+    for i in range(m):
+        low = run < 0
+        run[low], begin[low] = 0.0, i
+        run += profile[i, text[i : i + n]]
+        up = run > best
+        best[up], first[up], last[up] = run[up], begin[up], i
+    return best, first, last
+
+
+def _scan_block(kinds: list):
+    """The segments of a tile of profiles (query, i, a, s) on a block of the database (target, pos, a)."""
+
+    def run(scores, block):
+        import pyarrow as pa
+
+        names = ["query", "target", "diagonal", "score", "m", "q_start", "q_end"]
+        if not scores.num_rows or not block.num_rows:
+            return pa.table([pa.array([], k) for k in kinds], names)
+        who, whose = (t.column(c).combine_chunks().dictionary_encode() for t, c in ((scores, "query"), (block, "target")))
+        q, t = who.indices.to_numpy(), whose.indices.to_numpy()
+        i, a, s = (scores.column(c).to_numpy() for c in ("i", "a", "s"))
+        pos, letter = block.column("pos").to_numpy(), block.column("a").to_numpy()
+        known = np.unique(a)
+        code = np.minimum(np.searchsorted(known, letter), len(known) - 1)
+        code = np.where(known[code] == letter, code, len(known))
+        size = np.zeros(len(whose.dictionary), np.int64)
+        np.maximum.at(size, t, pos + 1)
+        out = []
+        for k in range(len(who.dictionary)):
+            own = q == k
+            m = int(i[own].max()) + 1
+            profile = np.zeros((m, len(known) + 1))
+            profile[i[own], np.searchsorted(known, a[own])] = s[own]
+            start = np.cumsum(size + m - 1) - size  # m - 1 voids stand before, between and after the targets
+            text = np.full(int(start[-1] + size[-1]) + m - 1, len(known))
+            text[start[t] + pos] = code
+            gain, first, last = _diagonals(profile, text)
+            d = np.flatnonzero(gain > 0)
+            of = np.searchsorted(start, d + last[d], "right") - 1
+            first = np.maximum(first[d], start[of] - d)
+            out.append((np.full(len(d), k), of, d - start[of], gain[d], np.full(len(d), m), first, last[d]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+        ids = [who.dictionary.take(pa.array(cols[0])), whose.dictionary.take(pa.array(cols[1]))]
+        return pa.table([x.cast(k) for x, k in zip([*ids, *map(pa.array, cols[2:])], kinds, strict=True)], names)
+
+    return run
+
+
 def scan(scores: DataFrame, database: DataFrame, o: SearchOptions = SearchOptions()) -> DataFrame:
     """query, target, diagonal, score, evalue, q_start, q_end, t_start: best segment of each diagonal with a positive score.
 
-    scores (query, i, a, s) in bits, database (target, pos, a). Positions count from 0, ends included.
+    scores (query, i, a, s) in bits, database (target, pos, a). Positions count from 0, ends included; what has no score
+    counts as 0. Tiles of profiles meet blocks of whole sequences, so letters are sent once a tile and profiles once a block.
     """
-    d = database.join(scores, "a").select("query", "target", (F.col("pos") - F.col("i")).alias("diagonal"), "i", "pos", "s")
-    w = Window.partitionBy("query", "target", "diagonal").orderBy("i")
-    run = d.withColumn("run", F.sum("s").over(w))
-    before = F.coalesce(F.min(F.struct("run", "i")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.struct(F.lit(0.0).alias("run"), F.lit(-1).alias("i")))
-    run = run.withColumn("low", F.when(before["run"] < 0, before).otherwise(F.struct(F.lit(0.0).alias("run"), F.lit(None).cast("int").alias("i"))))
-    first = F.min("i").over(Window.partitionBy("query", "target", "diagonal"))
-    run = run.withColumns({"gain": F.col("run") - F.col("low.run"), "from": F.coalesce(F.col("low.i") + 1, first)})
-    best = run.groupBy("query", "target", "diagonal").agg(F.max(F.struct("gain", (-F.col("i")).alias("e"), "from")).alias("x")).filter("x.gain > 0")
-    n = database.agg(F.count(F.lit(1)).alias("n"))
-    m = scores.groupBy("query").agg((F.max("i") + 1).alias("m"))
-    out = best.join(m, "query").join(F.broadcast(n))  # one row
-    e = F.lit(o.k) * F.col("m") * F.col("n") * F.exp(-F.lit(o.lam) * F.col("x.gain"))
-    return out.select("query", "target", "diagonal", F.col("x.gain").alias("score"), e.alias("evalue"), F.col("x.from").alias("q_start"), (-F.col("x.e")).alias("q_end"), (F.col("x.from") + F.col("diagonal")).alias("t_start"))
+    n = database.count()
+    tiles, blocks = max(1, math.ceil(scores.select("query").distinct().count() / TILE)), max(1, math.ceil(n / BLOCK))
+    deal = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = scores.select(deal("query", tiles).alias("tile"), every(blocks).alias("block"), "query", F.col("i").cast("int").alias("i"), F.col("a").cast("int").alias("a"), F.col("s").cast("double").alias("s"))
+    right = database.select(every(tiles).alias("tile"), deal("target", blocks).alias("block"), "target", F.col("pos").cast("int").alias("pos"), F.col("a").cast("int").alias("a"))
+    schema = StructType([StructField("query", scores.schema["query"].dataType), StructField("target", database.schema["target"].dataType), *[StructField(c, DoubleType() if c == "score" else IntegerType()) for c in ("diagonal", "score", "m", "q_start", "q_end")]])
+    kinds = to_arrow_schema(schema).types
+    out = left.groupBy("tile", "block").cogroup(right.groupBy("tile", "block")).applyInArrow(_scan_block(kinds), schema)
+    e = F.lit(o.k) * F.col("m") * F.lit(float(n)) * F.exp(-F.lit(o.lam) * F.col("score"))
+    return out.select("query", "target", "diagonal", "score", e.alias("evalue"), "q_start", "q_end", (F.col("q_start") + F.col("diagonal")).alias("t_start"))
 
 
 def as_hits(found: DataFrame, queries: DataFrame, database: DataFrame, o: SearchOptions = SearchOptions()) -> DataFrame:

@@ -76,3 +76,19 @@ def test_global_and_position_profiles_sum_to_one(spark):
     for g in (True, False):
         p = search.alignment_profile(c, DNA, search.SearchOptions(global_weights=g))
         assert all(r.s == pytest.approx(1) for r in p.groupBy("pos").agg(F.sum("p").alias("s")).collect())
+
+
+def test_scan_over_tiles_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "TILE", 2)
+    monkeypatch.setattr(search, "BLOCK", 40)
+    rng = np.random.default_rng(3)
+    queries = {f"q{k}": "".join("ACGT"[x] for x in rng.integers(0, 4, n)) for k, n in enumerate((1, 5, 9, 9, 14))}
+    texts = {k: "".join("ACGT"[x] for x in rng.integers(0, 4, n)) for k, n in enumerate((3, 60, 25, 1))}
+    rows = [(q, i, a, 1.0 if DNA.letters[a] == c else -1.0) for q, t in queries.items() for i, c in enumerate(t) for a in range(4)]
+    db = spark.createDataFrame([(k, i, DNA.letters.index(c)) for k, t in texts.items() for i, c in enumerate(t)], "target int, pos int, a int")
+    found = search.scan(spark.createDataFrame(rows, "query string, i int, a int, s double"), db).collect()
+    assert {(r.query, r.target, r.diagonal): r.score for r in found} == {(q, k, d): v for q, x in queries.items() for k, t in texts.items() for d, v in brute(x, t).items()}
+    for r in found:
+        part = range(r.q_start, r.q_end + 1)
+        assert r.t_start == r.q_start + r.diagonal and sum(1 if queries[r.query][i] == texts[r.target][i + r.diagonal] else -1 for i in part) == r.score
+    assert search.scan(spark.createDataFrame(rows, "query string, i int, a int, s double"), db.limit(0)).count() == 0
