@@ -7,8 +7,10 @@ differ in at most D elements agree in at least 1 + e blocks (pigeonhole), so joi
 of equal blocks finds every similar pair. e is the number of empty blocks allowed for, so that an
 agreement in a block that is not empty is certain unless both sets have more empty blocks; such sets
 are rare and join on their empty blocks too. A 512-bit parity sketch of the whole set then bounds the
-symmetric difference from below by its Hamming distance; the texts of the pairs that pass are moved,
-once, and a link is what holds for the n-grams of their words themselves, not for hashes.
+symmetric difference from below by its Hamming distance, and for sets whose allowed difference is near
+or beyond what 512 bits can show, so does a wide one, four bits and more for each element of that
+difference; the texts of the pairs that pass are moved, once, and a link is what holds for the n-grams
+of their words themselves, not for hashes.
 
 Equal sets (by 128 bits of identity) are one class from the start. A task sends members that agree in
 a key under one name, the list of them, so a key's list at its bucket has one entry for a batch of
@@ -39,6 +41,8 @@ NAMED_WORDS, NAMED_PERCENT = 5, 80
 #: Keys that a task holds at a time, n-grams and pairs that are verified in one call, and members of a tile's side.
 KEYS, DEAL_GRAMS, DEAL_PAIRS, TILE = 1_000_000, 150_000, 64, 1024
 SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
+#: Bits of the map of row keys whose texts are asked for: 2 MB, however large the input.
+SLOTS = 1 << 24
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -177,6 +181,50 @@ def parity_sketches(h: np.ndarray, n: np.ndarray, bits: int = SKETCH_BITS) -> np
     return np.packbits((np.bincount(at, minlength=len(n) * bits) & 1).astype(np.uint8).reshape(len(n), bits), axis=1)
 
 
+def wide_bits(n: np.ndarray, percent: int) -> np.ndarray:
+    """Bits of the wide sketch of sets of n elements: a power of 2, four times the difference allowed at least; 0 where SKETCH_BITS are enough."""
+    allowed = 2 * np.asarray(n, np.int64) * (100 - percent) // (100 + percent)
+    bits = np.int64(1) << np.ceil(np.log2(np.maximum(4 * allowed, 1))).astype(np.int64)
+    return np.where(bits > SKETCH_BITS, bits, 0)
+
+
+def wide_sketches(h: np.ndarray, n: np.ndarray, percent: int) -> list[bytes | None]:
+    """The wide sketch of each set, None where it needs none."""
+    end = np.cumsum(n)
+    return [parity_sketches(h[hi - k : hi], np.array([k]), m).tobytes() if m else None for hi, k, m in zip(end.tolist(), n.tolist(), wide_bits(n, percent).tolist(), strict=True)]
+
+
+def folded(w: np.ndarray, words: int) -> np.ndarray:
+    """Sketches as those of fewer bits, all powers of 2: the halves are XORed."""
+    while w.shape[-1] > words:
+        half = w.shape[-1] // 2
+        w = w[..., :half] ^ w[..., half:]
+    return w
+
+
+class Wide:
+    """A column of wide sketches, by their size."""
+
+    def __init__(self, column):
+        raw = column.to_pylist()
+        self.words = np.array([len(x) // 8 if x else 0 for x in raw], np.int64)
+        self.slot, self.of = np.zeros(len(raw), np.int64), {}
+        for m in np.unique(self.words[self.words > 0]).tolist():
+            own = np.flatnonzero(self.words == m)
+            self.slot[own] = np.arange(len(own))
+            self.of[m] = np.frombuffer(b"".join(raw[k] for k in own.tolist()), U).reshape(len(own), m)
+
+    def distances(self, x: int, other: Wide, j: np.ndarray) -> np.ndarray:
+        """Of x and the rows j of other: what their differences are at least; 0 where either has no wide sketch."""
+        out, m = np.zeros(len(j), np.int64), int(self.words[x])
+        if m:
+            own, words = self.of[m][self.slot[x]], other.words[j]
+            for w in np.unique(words[words > 0]).tolist():
+                at, least = words == w, min(m, w)
+                out[at] = np.bitwise_count(folded(other.of[w][other.slot[j[at]]], least) ^ folded(own, least)).sum(1)
+        return out
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(U).view(np.int64)
 
@@ -189,17 +237,17 @@ def _batches(batches, column: int, words: int):
             yield batch.slice(i, j - i), h, n
 
 
-BASE = "doc_id long, tk long, th int, n long, sid long, check long, " + ", ".join(f"{x} long" for x in SKETCH)
+BASE = "doc_id long, tk long, th int, n long, sid long, check long, " + ", ".join(f"{x} long" for x in SKETCH) + ", wide binary"
 
 
-def _base(words: int, bits: int):
+def _base(words: int, percent: int, bits: int):
     def run(batches):
         import pyarrow as pa
 
         for batch, h, n in _batches(batches, 3, words):
             a, b = set_ids(h, n, bits)
             sketch = parity_sketches(h, n).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n), pa.array(_signed(a)), pa.array(_signed(b)), *[pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(len(SKETCH))]], ["doc_id", "tk", "th", "n", "sid", "check", *SKETCH])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n), pa.array(_signed(a)), pa.array(_signed(b)), *[pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(len(SKETCH))], pa.array(wide_sketches(h, n, percent), pa.binary())], ["doc_id", "tk", "th", "n", "sid", "check", *SKETCH, "wide"])
 
     return run
 
@@ -368,10 +416,35 @@ def _allowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that sizes and sketches allow, with the rows that hold their texts."""
     p = pairs
     for x in ("a", "b"):
-        p = p.join(classes.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "tk", "th", *SKETCH)]), x)
+        p = p.join(classes.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "tk", "th", *SKETCH, "wide")]), x)
     far = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SKETCH[1:]), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
     p = p.filter(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent).filter(far <= F.floor((F.col("a_n") + F.col("b_n")) * (100 - percent) / (100 + percent)))
-    return p.select("a", "a_tk", "a_th", "b", "b_n", "b_tk", "b_th")
+    p = p.select("a", "a_n", "a_tk", "a_th", "b", "b_n", "b_tk", "b_th", "a_wide", "b_wide")
+    return p.mapInArrow(_near(percent), "a long, a_tk long, a_th int, b long, b_n long, b_tk long, b_th int")
+
+
+def _near(percent: int):
+    """The pairs whose wide sketches allow a link."""
+
+    def near(batches):
+        import pyarrow as pa
+
+        for t in batches:
+            left, right, n = Wide(t.column("a_wide")), Wide(t.column("b_wide")), t.column("a_n").to_numpy() + t.column("b_n").to_numpy()
+            d = np.zeros(t.num_rows, np.int64)
+            for k in np.flatnonzero((left.words > 0) & (right.words > 0)).tolist():
+                d[k] = left.distances(k, right, np.array([k]))[0]
+            yield t.filter(pa.array(d <= n * (100 - percent) // (100 + percent))).select(["a", "a_tk", "a_th", "b", "b_n", "b_tk", "b_th"])
+
+    return near
+
+
+def _asked(own: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of own that pairs ask for, and few others: those whose bit of SLOTS is set, by the row key."""
+    word, bit = F.shiftright(F.col("tk").bitwiseAND(F.lit(SLOTS - 1)), 6), F.expr("shiftleft(1L, cast(tk & 63 as int))")
+    keys = pairs.select(F.explode(F.array("a_tk", "b_tk")).alias("tk"))
+    marks = keys.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))  # SLOTS / 64 rows at most
+    return own.withColumn("word", word).join(F.broadcast(marks), "word").filter(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, own: DataFrame, words: int, percent: int) -> DataFrame:
@@ -379,17 +452,18 @@ def verified(pairs: DataFrame, classes: DataFrame, own: DataFrame, words: int, p
 
     A hub with many partners is dealt out by their number and size. The rows that are asked for grow with
     the input, so they are never broadcast; they are the hashed side of the join, and texts are not sorted.
+    What is broadcast is a map of bits of their keys, of a fixed size, so that most other texts are not moved.
     """
     p = written(_allowed(pairs, classes, percent), "pairs")
     tasks = F.greatest(F.ceil(F.count(F.lit(1)) / DEAL_PAIRS), F.ceil(F.sum("b_n") / DEAL_GRAMS))
     p = p.join(p.groupBy("a").agg(tasks.alias("tasks")), "a").withColumn("deal", F.pmod(F.xxhash64("b"), "tasks").cast("int"))
     hubs = p.select(F.col("a_tk").alias("tk"), F.col("a_th").alias("th"), "a", "deal", F.lit(None).cast("long").alias("b")).distinct()
     wanted = hubs.unionByName(p.select(F.col("b_tk").alias("tk"), F.col("b_th").alias("th"), "a", "deal", "b"))
-    texts = own.select("tk", "th", "text").join(wanted.hint("shuffle_hash"), ["tk", "th"]).dropDuplicates(["tk", "th", "a", "deal", "b"])
+    texts = _asked(own.select("tk", "th", "text"), p).join(wanted.hint("shuffle_hash"), ["tk", "th"]).dropDuplicates(["tk", "th", "a", "deal", "b"])
     return texts.select("a", "deal", "b", "text").groupBy("a", "deal").applyInArrow(_verify(words, percent), "a long, b long")
 
 
-def _tile(rows, others, node, comp, n, bits, percent: int, same: bool):
+def _tile(rows, others, node, comp, n, bits, wide: Wide, percent: int, same: bool):
     """(a, b) of a tile: members of rows and of others, ascending in n, that are in different components and may be similar."""
     low, high = np.searchsorted(n[others] * 100, n[rows] * percent, "left"), np.searchsorted(n[others] * percent, n[rows] * 100, "right")
     a, b = [], []
@@ -399,6 +473,9 @@ def _tile(rows, others, node, comp, n, bits, percent: int, same: bool):
         if len(j):
             d = np.bitwise_count(bits[j] ^ bits[x]).sum(1)
             j = j[d <= (n[j] + n[x]) * (100 - percent) // (100 + percent)]
+        if len(j) and wide.words[x]:
+            j = j[wide.distances(x, wide, j) <= (n[j] + n[x]) * (100 - percent) // (100 + percent)]
+        if len(j):
             a.append(np.full(len(j), x))
             b.append(j)
     return a, b
@@ -411,7 +488,7 @@ def _cross(percent: int):
         import pyarrow as pa
 
         gid, left, right, tile, node, comp, n = (t.column(c).to_numpy() for c in ("gid", "i", "j", "tile", "node", "component", "n"))
-        bits = np.stack([t.column(c).to_numpy() for c in SKETCH], 1).view(U)
+        bits, wide = np.stack([t.column(c).to_numpy() for c in SKETCH], 1).view(U), Wide(t.column("wide"))
         order = np.lexsort((n, tile, right, left, gid))
         new = np.ones(len(order), bool)
         key = np.stack([gid[order], left[order], right[order]])
@@ -422,7 +499,7 @@ def _cross(percent: int):
             own = order[lo:hi]
             cut = int(np.searchsorted(tile[own], left[own[0]], "right"))
             same = left[own[0]] == right[own[0]]
-            x, y = _tile(own[:cut], own if same else own[cut:], node, comp, n, bits, percent, same)
+            x, y = _tile(own[:cut], own if same else own[cut:], node, comp, n, bits, wide, percent, same)
             a += x
             b += y
         a, b = (node[np.concatenate(x)] if x else np.zeros(0, np.int64) for x in (a, b))
@@ -434,13 +511,14 @@ def _cross(percent: int):
 def _unconnected(member: DataFrame, label: DataFrame, classes: DataFrame, percent: int, calls: int) -> DataFrame:
     """Possible pairs of groups whose members are in several components; a member meets each tile of its group once.
 
-    Groups are many and mostly small, so tiles are dealt out by hash over `calls` calls.
+    Groups are many and mostly small, so tiles are dealt out by hash over `calls` calls. Classes may come without wide sketches.
     """
+    wide = F.col("wide") if "wide" in classes.columns else F.lit(None).cast("binary").alias("wide")
     known = member.join(label, "node")
     mixed = known.groupBy("gid").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("c"), F.max("component").alias("d")).filter("c != d")
     rows = known.join(mixed.select("gid", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "gid").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
-    rows = rows.join(classes.select("node", "n", *SKETCH), "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("gid", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "node", "component", "n", *SKETCH)
+    rows = rows.join(classes.select("node", "n", *SKETCH, wide), "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("gid", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "node", "component", "n", *SKETCH, "wide")
     rows = rows.withColumn("call", F.pmod(F.xxhash64("gid", "i", "j"), F.lit(calls)).cast("int")).repartition(max(1, calls // 4), "call")
     return rows.groupBy("call").applyInArrow(_cross(percent), "a long, b long").distinct()
 
@@ -458,10 +536,10 @@ def _members(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     """One row per input row: doc_id, tk and th (its row keys), n, and component (a class of its component, null for empty sets)."""
     tk, th = _row_keys(id_col, text_col)
     own = docs.select(col(id_col).cast("long").alias("doc_id"), tk.alias("tk"), th.alias("th"), col(text_col).alias("text"))
-    base = written(own.mapInArrow(_base(words, bits), BASE).withColumn("row", F.monotonically_increasing_id()), "sets")
+    base = written(own.mapInArrow(_base(words, percent, bits), BASE).withColumn("row", F.monotonically_increasing_id()), "sets")
     some = base.filter("n > 0")
-    classes = some.groupBy("sid", "check").agg(F.min("row").alias("node"), F.min_by(F.struct("tk", "th"), "row").alias("at"), *[F.first(c).alias(c) for c in ("n", *SKETCH)])
-    classes = written(classes.select("sid", "check", "node", "at.*", "n", *SKETCH), "classes")
+    classes = some.groupBy("sid", "check").agg(F.min("row").alias("node"), F.min_by(F.struct("tk", "th"), "row").alias("at"), *[F.first(c).alias(c) for c in ("n", *SKETCH, "wide")])
+    classes = written(classes.select("sid", "check", "node", "at.*", "n", *SKETCH, "wide"), "classes")
     buckets = buckets_for(docs.sparkSession, docs, 8 << 20, 12)
     keys = own.select("text").mapInArrow(_keys(words, percent, buckets, bits), "bucket int, k binary, s binary, list long")
     found = written(keys.groupBy("bucket").applyInArrow(_groups, "list long, members array<long>, said long"), "groups")

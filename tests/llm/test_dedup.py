@@ -238,6 +238,44 @@ def test_parity_sketch_is_a_lower_bound():
         assert np.bitwise_count(s[0] ^ s[1]).sum() <= len(np.setxor1d(a, b))
 
 
+def test_long_unlike_sets_are_no_candidates(spark, monkeypatch):
+    """512 bits are full of some 600 elements; sets of thousands are told apart by sketches of their size, and like ones still pass."""
+    r = random.Random(3)
+    texts = [" ".join(str(r.randrange(10**6)) for _ in range(3000)) for _ in range(8)]
+    texts += [t + " and more" for t in texts]
+    kept = {}
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: kept.setdefault(name, df.localCheckpoint()))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ngram_join._members(docs, "doc_id", "text", 5, 80, 64)
+    node = {r.n * 100 + k: r.node for k, r in enumerate(kept["classes"].collect())}
+    pairs = spark.createDataFrame([(a, b) for a in node.values() for b in node.values() if a < b], "a long, b long")
+    assert ngram_join._allowed(pairs, kept["classes"], 80).count() == 8
+
+
+def test_wide_sketches_are_lower_bounds_at_any_size():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    for n in (600, 1100, 1200, 2500, 9000):
+        a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[n // 20 :], rng.integers(0, 1 << 62, n // 8).astype(np.uint64)]))
+        sizes = np.array([len(a), len(b)])
+        wide = ngram_join.Wide(pa.array(ngram_join.wide_sketches(np.concatenate([a, b]), sizes, 80)))
+        d = len(np.setxor1d(a, b))
+        assert (wide.words > 0).all() and 0.6 * d < wide.distances(0, wide, np.array([1]))[0] <= d
+    assert ngram_join.wide_bits(np.array([1, 500, 4000]), 80).tolist() == [0, 0, 4096]
+
+
+def test_texts_that_no_pair_asks_for_are_not_moved(spark, monkeypatch):
+    own = spark.range(2000).select(F.xxhash64("id").alias("tk"), F.lit(0).alias("th"), F.col("id").cast("string").alias("text"))
+    pairs = own.filter("text < '11'").select(F.col("tk").alias("a_tk"), F.col("tk").alias("b_tk"))
+    want = {r.text for r in own.filter("text < '11'").collect()}
+    got = {r.text for r in ngram_join._asked(own, pairs).collect()}
+    assert want <= got and len(got) < len(want) + 5
+    monkeypatch.setattr(ngram_join, "SLOTS", 64)  # a full map only lets more through
+    assert want <= {r.text for r in ngram_join._asked(own, pairs).collect()}
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (9, 3), (5, 4), (7, 7), (3, 2)], "a long, b long")
     assert {r.node: r.component for r in graph.components(e).collect()} == {1: 1, 2: 1, 3: 1, 9: 1, 4: 4, 5: 4}
