@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +58,34 @@ def kmer_counts(seqs: DataFrame, k: int, seq: str = "seq", id_col: str = "id") -
     return own.select(id_col, F.explode(F.transform(F.sequence(F.lit(1), F.length(seq) - k), lambda p: F.substring(F.col(seq), p, F.lit(k)))).alias("kmer")).groupBy(id_col, "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Rows of a block that meets others, blocks of a group (a row is sent once to each), and rows of a tile that is compared at a time.
+SIDE, BLOCKS, AT_ONCE = 8192, 16, 1024
+#: Columns of a matrix of ones, positions of a block of a sequence, and of a run of them that meets its neighbours at a time.
+WIDE, STRETCH, RUN = 4096, 8192, 256
+
+
+def block_pairs(rows: DataFrame, id_col: str, group: str | None = None) -> DataFrame:
+    """rows with bi <= bj, a pair of blocks of their group, and own, the one of them that a row is of; dealt out by pair.
+
+    Every two rows of a group are in one pair of blocks, and rows of one id in one block. Null ids and groups meet nothing.
+    """
+    rows = rows.filter(F.col(id_col).isNotNull() if group is None else F.col(id_col).isNotNull() & F.col(group).isNotNull())
+    parts = F.least(F.ceil(F.count(F.lit(1)) / F.lit(SIDE)), F.lit(BLOCKS)).cast("int").alias("parts")
+    sized = rows.crossJoin(F.broadcast(rows.agg(parts))) if group is None else rows.join(rows.groupBy(group).agg(parts), group)  # one row
+    sized = sized.withColumn("own", F.pmod(F.xxhash64(id_col), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keys = [*([group] if group else []), "bi", "bj"]
+    sized = sized.withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other")}).drop("parts", "other")
+    return sized.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def tiles(own: np.ndarray, bi: int, bj: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of runs of rows of block bi and of block bj that cover all pairs of rows, of one block in one order at least."""
+    left, right = np.flatnonzero(own == bi), np.flatnonzero(own == bj)
+    for x in range(0, len(left), AT_ONCE):
+        for y in range(x if bi == bj else 0, len(right), AT_ONCE):
+            yield left[x : x + AT_ONCE], right[y : y + AT_ONCE]
+
+
 def kmer_distances(counts: DataFrame, id_col: str = "id") -> DataFrame:
     """a, b, shared, distance: 1 - shared k-mers (with repeats) over those of the shorter one, for pairs that share any.
 
@@ -91,16 +122,69 @@ def kimura(p):
 
 def kimura_distances(cells: DataFrame, size: int) -> DataFrame:
     """ali, x, y, d of all rows x < y of an alignment; 10 where no column has a letter of both."""
-    rows = cells.select("ali", "k").distinct()
-    pairs = rows.select("ali", F.col("k").alias("x")).join(rows.select("ali", F.col("k").alias("y")), "ali").filter("x < y")
-    return pairs.join(aligned_differences(cells, size), ["ali", "x", "y"], "left").select("ali", "x", "y", F.coalesce(kimura(F.col("p")), F.lit(10.0)).alias("d"))
+    letter = (F.col("a") < size) & F.col("i").isNotNull()
+    return kimura_row_distances(cells.groupBy("ali", "k").agg(F.collect_list(F.when(letter, F.col("i").cast("long"))).alias("i"), F.collect_list(F.when(letter, F.col("a").cast("int"))).alias("a")), size)
 
 
-def aligned_differences(cells: DataFrame, size: int) -> DataFrame:
-    """ali, x, y, p: the share of differing letters over columns where both rows have one; rows x < y of an alignment."""
-    own = cells.filter(F.col("a") < size)
-    left, right = own.select("ali", "i", F.col("k").alias("x"), F.col("a").alias("ax")), own.select("ali", "i", F.col("k").alias("y"), F.col("a").alias("ay"))
-    return left.join(right, ["ali", "i"]).filter("x < y").groupBy("ali", "x", "y").agg((F.sum((F.col("ax") != F.col("ay")).cast("int")).cast("double") / F.count(F.lit(1))).alias("p"))
+def kimura_row_distances(rows: DataFrame, size: int) -> DataFrame:
+    """The same for rows (ali, k, a), where a is the array of letters, and i that of their columns (0, 1, ... without i)."""
+    return aligned_differences(rows, size).select("ali", "x", "y", F.coalesce(kimura(F.col("p")), F.lit(10.0)).alias("d"))
+
+
+def aligned_differences(rows: DataFrame, size: int) -> DataFrame:
+    """ali, x, y, p: the share of differing letters over columns where both rows have one, null without such a column; rows x < y of an alignment.
+
+    Rows go to pairs of blocks; the columns and the equal letters of two rows are products of their ones. Only pairs leave a task.
+    """
+    ali, k = (rows.schema[c].dataType.simpleString() for c in ("ali", "k"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        t = pa.Table.from_batches(list(batches))
+        t = t.take(pc.sort_indices(t.column("k")))
+        code = t.column("k").combine_chunks().dictionary_encode()
+        ids, name, lists = code.dictionary, code.indices.to_numpy(zero_copy_only=False).astype(np.int64), t.column("a").combine_chunks()
+        n = lists.value_lengths().to_numpy().astype(np.int64)
+        at = t.column("i").combine_chunks().flatten().to_numpy() if "i" in t.column_names else np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        a, row = lists.flatten().fill_null(size).to_numpy(), np.repeat(name, n)
+        columns, at = np.unique(at, return_inverse=True)
+        row, at, a = row[a < size], at[a < size], a[a < size].astype(np.int64)
+        order = np.argsort(row, kind="stable")
+        row, at, a = row[order], at[order], a[order]
+        own = np.zeros(len(ids), np.int64)
+        own[name] = t.column("own").to_numpy()
+
+        # Rows of one block are not next to each other; the cells of a run of rows are.
+        block = {b: np.flatnonzero(own == b) for b in {t.column("bi")[0].as_py(), t.column("bj")[0].as_py()}}
+        new = np.zeros(len(ids), np.int64)
+        new[np.concatenate(list(block.values()))] = np.arange(len(ids))
+        order = np.argsort(new[row], kind="stable")
+        row, at, a = new[row][order], at[order], a[order]
+
+        def matrices(some, start, stop):
+            """Of a run of rows the ones of columns with a letter, and of letters of columns."""
+            x, y = np.searchsorted(row, [new[some[0]], new[some[-1]] + 1])
+            here = (at[x:y] >= start) & (at[x:y] < stop)
+            r, c, v = row[x:y][here] - new[some[0]], at[x:y][here] - start, a[x:y][here]
+            one, each = np.zeros((len(some), stop - start), np.float32), np.zeros((len(some), (stop - start) * size), np.float32)
+            np.add.at(one, (r, c), 1)
+            np.add.at(each, (r, c * size + v), 1)
+            return one, each
+
+        same, step = t.column("bi")[0] == t.column("bj")[0], max(1, WIDE // size)
+        for x, y in tiles(own, t.column("bi")[0].as_py(), t.column("bj")[0].as_py()):
+            both, equal = np.zeros((len(x), len(y))), np.zeros((len(x), len(y)))
+            for start in range(0, len(columns), step):
+                (cx, lx), (cy, ly) = (matrices(z, start, min(start + step, len(columns))) for z in (x, y))
+                both += cx @ cy.T
+                equal += lx @ ly.T
+            i, j = np.nonzero(x[:, None] < y) if same else (z.ravel() for z in np.indices(both.shape))
+            both, equal, i, j = both[i, j], equal[i, j], x[i], y[j]
+            p = pa.array((both - equal) / np.maximum(both, 1), mask=both == 0)
+            yield pa.RecordBatch.from_arrays([pa.repeat(t.column("ali")[0], len(i)), ids.take(pa.array(np.minimum(i, j))), ids.take(pa.array(np.maximum(i, j))), p], ["ali", "x", "y", "p"])
+
+    return block_pairs(rows, "k", "ali").groupBy("ali", "bi", "bj").applyInArrow(run, f"ali {ali}, x {k}, y {k}, p double")
 
 
 def repeat_scores(pp: DataFrame, prior: DataFrame, reach: int = 100, least: float = 0.02, min_score: float = 0.0, id_col: str = "id") -> DataFrame:

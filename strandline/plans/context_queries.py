@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import contexts, sequences
 from .catalog import query
-from .inputs import BACKGROUND, CELLS, EVENTS, MODEL, MODEL_SQL, PREDICTED, PRIOR, SCORES, SIZE, WIDTH, WJ, background, central, embedding_cells, event_cells, model, r6, states, table, weights
+from .inputs import BACKGROUND, CELLS, EVENTS, MODEL, MODEL_SQL, PREDICTED, PRIOR, SCORES, SIZE, WIDTH, WJ, background, central, embedding_rows, event_cells, model, r6, states, table, weights
 
 
 def _scores(spark, sf_dir, bg=False):
@@ -173,10 +173,10 @@ SELECT q.ali, q.x, q.y, round(CASE WHEN p IS NULL OR p > 0.93::DOUBLE THEN 10 WH
 @query(f"""WITH {CELLS}, p AS (SELECT x.ali, x.k AS x, y.k AS y, sum(CASE WHEN x.a <> y.a THEN 1 ELSE 0 END)::DOUBLE / count(*) AS p FROM cells x JOIN cells y ON y.ali = x.ali AND y.i = x.i AND x.k < y.k WHERE x.a < 4 AND y.a < 4 GROUP BY 1, 2, 3)
 {KIMURA}""")
 def kimura_distance(spark, sf_dir):
+    """Over rows of letters; which gaps are end gaps makes no difference to columns where both rows have a letter."""
     from ..functions.alphabets import DNA
-    from ..operators.alignments import mark_end_gaps
 
-    d = sequences.kimura_distances(mark_end_gaps(embedding_cells(spark, sf_dir), DNA), DNA.size)
+    d = sequences.kimura_row_distances(embedding_rows(spark, sf_dir), DNA.size)
     return d.select("ali", "x", "y", r6(F.col("d")).alias("d"))
 
 

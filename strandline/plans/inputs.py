@@ -32,10 +32,19 @@ def event_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENTS = "ev AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, CASE event_type " + " ".join(f"WHEN '{t}' THEN {k}" for k, t in enumerate(EVENT_TYPES)) + f" ELSE {SIZE} END AS a FROM events)"
 
 
+def _letter(v: Column) -> Column:
+    return F.when(F.abs(v) < 0.02, DNA.gap).when(v < -0.1, 0).when(v < 0.0, 1).when(v < 0.1, 2).otherwise(3)
+
+
+def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ali, k, a: the same with the letters of a row in an array; rows without an entry have no cell."""
+    e = table(spark, sf_dir, "embeddings").filter(F.size("embedding") > 0)
+    return e.select(F.col("label").alias("ali"), F.col("vec_id").alias("k"), F.transform("embedding", lambda v: _letter(v.cast("double")).cast("tinyint")).alias("a"))
+
+
 def embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ali, k, i, a: vectors of a label as aligned sequences; letters by size of the entry, small entries are gaps."""
-    v = F.col("v")
-    a = F.when(F.abs(v) < 0.02, DNA.gap).when(v < -0.1, 0).when(v < 0.0, 1).when(v < 0.1, 2).otherwise(3)
+    a = _letter(F.col("v"))
     cells = table(spark, sf_dir, "embeddings").select(F.col("label").alias("ali"), F.col("vec_id").alias("k"), F.posexplode("embedding").alias("i", "v"))
     return cells.withColumn("v", F.col("v").cast("double")).select("ali", "k", "i", a.alias("a"))
 

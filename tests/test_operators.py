@@ -223,3 +223,12 @@ def test_kimura_follows_the_table(spark):
     assert got == pytest.approx(want, abs=2e-3) and len(sequences.PAMS) == 181
     cells = spark.createDataFrame([(0, 0, 0, 1), (0, 1, 0, 4), (0, 0, 1, 4), (0, 1, 1, 1)], "ali int, i int, k int, a int")
     assert [tuple(r) for r in sequences.kimura_distances(cells, 4).collect()] == [(0, 0, 1, 10.0)]
+
+
+def test_kimura_of_repeated_rows_gaps_and_nulls_counts_cells(spark):
+    """Cells of one row twice count twice, gaps and null columns do not, and rows without a letter have a distance of 10."""
+    cells = [(0, 0, 0, 1), (0, 0, 1, 2), (0, 0, 0, 1), (0, 1, 0, 1), (0, 1, 1, 3), (0, 2, 0, 5), (0, 2, None, 1), (0, None, 0, 1), (None, 0, 0, 1), (1, 0, 0, 1)]
+    got = sequences.aligned_differences(spark.createDataFrame([(0, 0, [0, 1, 0], [1, 2, 1]), (0, 1, [0, 1], [1, 3])], "ali int, k long, i array<long>, a array<int>"), 4)
+    assert [tuple(r) for r in got.collect()] == [(0, 0, 1, 1 / 3)]
+    d = sequences.kimura_distances(spark.createDataFrame(cells, "ali int, k long, i int, a int"), 4).collect()
+    assert sorted((r.ali, r.x, r.y, round(r.d, 6)) for r in d) == [(0, 0, 1, 0.439367), (0, 0, 2, 10.0), (0, 1, 2, 10.0)]

@@ -74,3 +74,21 @@ def test_fits_have_the_default_limits_and_other_rows_to_validate_on(spark, sf_di
         assert all(users) and not users[0] & users[1]
     elif name == "hmc_sample":
         assert seen["p"] == learning.HmcParams()
+
+
+@pytest.mark.parametrize("name", ["kimura_distance"])
+def test_only_results_leave_the_tasks_that_compare(spark, sf_dir, name):
+    """Pairs of cells, k-mers or positions grow with the square of the input: none is shuffled."""
+    plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("InArrow")[0]
+    assert "InArrow" in plan and "Exchange" not in above and "Join" not in above
+
+
+@pytest.mark.parametrize("name", ["kimura_distance"])
+def test_blocks_and_stretches_miss_nothing(spark, sf_dir, monkeypatch, name):
+    from strandline.operators import sequences
+
+    monkeypatch.setattr(sequences, "SIDE", 4)
+    monkeypatch.setattr(sequences, "BLOCKS", 3)
+    monkeypatch.setattr(sequences, "STRETCH", 16)
+    assert differences(catalog.queries()[name](spark, sf_dir), SQL[name], sf_dir) == []
