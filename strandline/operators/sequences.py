@@ -200,7 +200,74 @@ def repeat_scores(pp: DataFrame, prior: DataFrame, reach: int = 100, least: floa
 
 def repeat_penalty(scores: DataFrame, alpha: float = 0.0, beta: float = 0.1, id_col: str = "id") -> DataFrame:
     """id, pos, scale: 2 ** -(alpha + beta * sqrt of the summed scores of a position)."""
-    return scores.groupBy(id_col, F.col("i").alias("pos")).agg(F.pow(F.lit(2.0), -(F.lit(float(alpha)) + F.lit(float(beta)) * F.sqrt(F.sum("s")))).alias("scale"))
+    return repeat_scale(scores.groupBy(id_col, F.col("i").alias("pos")).agg(F.sum("s").alias("total")), alpha, beta, id_col)
+
+
+def repeat_scale(sums: DataFrame, alpha: float = 0.0, beta: float = 0.1, id_col: str = "id") -> DataFrame:
+    """id, pos, scale of the summed scores `total` of positions."""
+    return sums.select(id_col, "pos", F.pow(F.lit(2.0), -(F.lit(float(alpha)) + F.lit(float(beta)) * F.sqrt("total"))).alias("scale"))
+
+
+def repeat_sums(pp: DataFrame, prior: DataFrame, reach: int = 100, least: float = 0.02, min_score: float = 0.0, id_col: str = "id") -> DataFrame:
+    """id, pos, total: the sums of repeat_scores over j for each i, for wide reaches: no row for a pair is made.
+
+    Stretches of a sequence, with what is in reach of them, are sorted within a task; runs of positions meet their
+    neighbours as products of posteriors. A stretch has a bound, however long its sequence.
+    """
+    kind = pp.schema[id_col].dataType.simpleString()
+    own = pp.filter((F.col("pp") >= F.lit(least)) & F.col(id_col).isNotNull()).join(prior.select("k", "prior"), "k").select(id_col, F.col("pos").cast("long").alias("pos"), F.col("k").cast("long").alias("k"), "pp", (F.col("pp") / F.col("prior")).alias("odds"))
+    at = lambda p: F.floor(p / F.lit(STRETCH))
+    own = own.withColumn("stretch", F.explode(F.sequence(at(F.col("pos") - reach), at(F.col("pos") + reach)))).filter(F.col("stretch") >= at(F.lit(0)))
+    own = own.withColumn("mine", F.col("stretch") == at(F.col("pos"))).repartition(id_col, "stretch").sortWithinPartitions(id_col, "stretch", "pos")
+
+    def sums(t: pa.RecordBatch) -> pa.RecordBatch:
+        """Of whole stretches: those one after the other are out of each other's reach."""
+        name, stretch, pos, k = t.column(id_col).dictionary_encode(), *(t.column(c).to_numpy() for c in ("stretch", "pos", "k"))
+        new = np.append(True, (np.diff(name.indices.to_numpy()) != 0) | (np.diff(stretch) != 0))
+        line = pos - np.minimum.reduceat(pos, np.flatnonzero(new))[np.cumsum(new) - 1]
+        end = np.maximum.reduceat(line, np.flatnonzero(new)) + reach + 1
+        line = line + (np.cumsum(end) - end)[np.cumsum(new) - 1]
+        where, first, r = np.unique(line, return_index=True, return_inverse=True)
+        state, c = np.unique(k, return_inverse=True)
+        total, hit = np.zeros(len(where)), np.zeros(len(where), bool)
+        cell = np.append(first, len(line))
+
+        def dense(lo, hi, value):
+            out, at = np.zeros((hi - lo, len(state))), slice(cell[lo], cell[hi])
+            np.add.at(out, (r[at] - lo, c[at]), value[at])
+            return out
+
+        x, y = t.column("pp").to_numpy(), t.column("odds").to_numpy()
+        for lo in range(0, len(where), RUN):
+            hi = min(lo + RUN, len(where))
+            a, b = np.searchsorted(where, [where[lo] - reach, where[hi - 1] + reach + 1])
+            s, gap = dense(lo, hi, x) @ dense(a, b, y).T, np.abs(where[lo:hi, None] - where[a:b])
+            with np.errstate(divide="ignore"):
+                s = np.log2(s)
+            ok = (gap > 0) & (gap <= reach) & (s >= min_score) & (s > -np.inf)
+            total[lo:hi], hit[lo:hi] = np.where(ok, s, 0.0).sum(1), ok.any(1)
+        keep = np.flatnonzero(hit & t.column("mine").to_numpy(zero_copy_only=False)[first])
+        return pa.RecordBatch.from_arrays([t.column(id_col).take(pa.array(first[keep])), pa.array(pos[first[keep]]), pa.array(total[keep])], [id_col, "pos", "total"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < 100_000:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            name, stretch = t.column(id_col).dictionary_encode().indices.to_numpy(), t.column("stretch").to_numpy()
+            cut = int(np.flatnonzero((name != name[-1]) | (stretch != stretch[-1]))[-1]) + 1 if name[0] != name[-1] or stretch[0] != stretch[-1] else 0
+            if cut:
+                yield sums(t.slice(0, cut))
+            held, rows = [t.slice(cut)], t.num_rows - cut
+        if rows:
+            yield sums(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return own.mapInArrow(run, f"{id_col} {kind}, pos long, total double").withColumn("pos", F.col("pos").cast(pp.schema["pos"].dataType))
 
 
 def full_windows(cells: DataFrame, width: int, keys: list[str], pos: str = "pos", bad=None) -> DataFrame:

@@ -199,8 +199,8 @@ def repeat_penalty(spark, sf_dir):
 SELECT id, i AS pos, round(pow(2::DOUBLE, -(0 + 0.1::DOUBLE * sqrt(sum(s)))), 6) + 0 AS scale FROM r WHERE s >= 0 GROUP BY id, i""")
 def repeat_penalty_whole(spark, sf_dir):
     """repeat_penalty with the window and least posterior of the reference; its SQL states a narrow window."""
-    s = sequences.repeat_scores(_pp(spark, sf_dir), states(spark))
-    return sequences.repeat_penalty(s).select("id", "pos", r6(F.col("scale")).alias("scale"))
+    s = sequences.repeat_sums(_pp(spark, sf_dir), states(spark))
+    return sequences.repeat_scale(s).select("id", "pos", r6(F.col("scale")).alias("scale"))
 
 
 @query(f"""WITH {SCORES}, {EVENTS.replace('ev AS', 'ev2 AS')}, pr AS (SELECT x.id, x.pos AS i, y.pos AS j FROM ev x JOIN ev y ON y.id = x.id AND y.pos = x.pos + 1)

@@ -232,3 +232,16 @@ def test_kimura_of_repeated_rows_gaps_and_nulls_counts_cells(spark):
     assert [tuple(r) for r in got.collect()] == [(0, 0, 1, 1 / 3)]
     d = sequences.kimura_distances(spark.createDataFrame(cells, "ali int, k long, i int, a int"), 4).collect()
     assert sorted((r.ali, r.x, r.y, round(r.d, 6)) for r in d) == [(0, 0, 1, 0.439367), (0, 0, 2, 10.0), (0, 1, 2, 10.0)]
+
+
+def test_repeat_sums_of_long_and_sparse_sequences_equal_the_scores_of_pairs(spark):
+    import random
+
+    from strandline.operators import sequences
+
+    r = random.Random(4)
+    rows = [(u, p, k, r.random()) for u in ("a", "b") for p in sorted(r.sample(range(20000), 400)) for k in range(3) if r.random() < 0.7]
+    pp, prior = spark.createDataFrame(rows, "id string, pos int, k int, pp double"), spark.createDataFrame([(0, 0.5), (1, 0.3), (2, 0.2)], "k int, prior double")
+    want = {(x.id, x.pos): x.scale for x in sequences.repeat_penalty(sequences.repeat_scores(pp, prior)).collect()}
+    got = {(x.id, x.pos): x.scale for x in sequences.repeat_scale(sequences.repeat_sums(pp, prior)).collect()}
+    assert got.keys() == want.keys() and len(got) > 300 and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
