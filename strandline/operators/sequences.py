@@ -89,13 +89,49 @@ def tiles(own: np.ndarray, bi: int, bj: int) -> Iterator[tuple[np.ndarray, np.nd
 def kmer_distances(counts: DataFrame, id_col: str = "id") -> DataFrame:
     """a, b, shared, distance: 1 - shared k-mers (with repeats) over those of the shorter one, for pairs that share any.
 
-    The join is on the k-mer, so pairs without a common one do not arise; their distance is 1.
+    A row a sequence goes to pairs of blocks, where tiles are matrix products: a k-mer that occurs n times is n
+    columns of ones, so a product of two rows is the sum of the smaller counts. Only pairs leave a task.
     """
-    total = counts.groupBy(id_col).agg(F.sum("n").alias("t"))
-    left, right = counts.toDF("a", "kmer", "na"), counts.toDF("b", "kmer", "nb")
-    s = left.join(right, "kmer").filter("a < b").groupBy("a", "b").agg(F.sum(F.least("na", "nb")).alias("shared"))
-    s = s.join(total.toDF("a", "ta"), "a").join(total.toDF("b", "tb"), "b")
-    return s.select("a", "b", "shared", (F.lit(1.0) - F.col("shared") / F.least("ta", "tb")).alias("distance"))
+    kind = counts.schema[id_col].dataType.simpleString()
+    rows = counts.groupBy(id_col).agg(F.collect_list("kmer").alias("kmers"), F.collect_list("n").alias("ns"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        t = pa.Table.from_batches(list(batches))
+        t = t.take(pc.sort_indices(t.column(id_col)))
+        ids, lists = t.column(id_col).combine_chunks(), t.column("kmers").combine_chunks()
+        code = lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        n = t.column("ns").combine_chunks().flatten().to_numpy()
+        row = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())
+        total = np.bincount(row, n, len(ids)).astype(np.int64)
+        # (k-mer, its so many-th time) as a column
+        turn = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        row, code = np.repeat(row, n), np.unique(np.repeat(code, n) << 32 | turn, return_inverse=True)[1]
+        first = np.searchsorted(row, np.arange(len(ids) + 1))
+
+        def cells(some):
+            at = np.concatenate([np.arange(first[k], first[k + 1]) for k in some.tolist()])
+            return np.searchsorted(some, row[at]), code[at]
+
+        def ones(r, c, size, columns):
+            out, at = np.zeros((size, len(columns)), np.float32), np.minimum(np.searchsorted(columns, c), len(columns) - 1)
+            here = columns[at] == c
+            out[r[here], at[here]] = 1
+            return out
+
+        for x, y in tiles(t.column("own").to_numpy(), t.column("bi")[0].as_py(), t.column("bj")[0].as_py()):
+            (rx, cx), (ry, cy) = cells(x), cells(y)
+            both, shared = np.intersect1d(cx, cy), np.zeros((len(x), len(y)))
+            for k in range(0, len(both), WIDE):
+                shared += ones(rx, cx, len(x), both[k : k + WIDE]) @ ones(ry, cy, len(y), both[k : k + WIDE]).T
+            if t.column("bi")[0] == t.column("bj")[0]:
+                shared[x[:, None] >= y] = 0
+            i, j = np.nonzero(shared)
+            s, i, j = shared[i, j].astype(np.int64), x[i], y[j]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.minimum(i, j))), ids.take(pa.array(np.maximum(i, j))), pa.array(s), pa.array(1.0 - s / np.minimum(total[i], total[j]))], ["a", "b", "shared", "distance"])
+
+    return block_pairs(rows, id_col).groupBy("bi", "bj").applyInArrow(run, f"a {kind}, b {kind}, shared long, distance double")
 
 
 # Accepted point mutations of 100 letters for 75.0, 75.1, ..., 93.0 % of differing letters.

@@ -76,7 +76,7 @@ def test_fits_have_the_default_limits_and_other_rows_to_validate_on(spark, sf_di
         assert seen["p"] == learning.HmcParams()
 
 
-@pytest.mark.parametrize("name", ["kimura_distance", "repeat_penalty_whole"])
+@pytest.mark.parametrize("name", ["kimura_distance", "kmer_distance", "repeat_penalty_whole"])
 def test_only_results_leave_the_tasks_that_compare(spark, sf_dir, name):
     """Pairs of cells, k-mers or positions grow with the square of the input: none is shuffled."""
     plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
@@ -84,7 +84,7 @@ def test_only_results_leave_the_tasks_that_compare(spark, sf_dir, name):
     assert "InArrow" in plan and "Exchange" not in above and "Join" not in above
 
 
-@pytest.mark.parametrize("name", ["kimura_distance", "repeat_penalty_whole"])
+@pytest.mark.parametrize("name", ["kimura_distance", "kmer_distance", "repeat_penalty_whole"])
 def test_blocks_and_stretches_miss_nothing(spark, sf_dir, monkeypatch, name):
     from strandline.operators import sequences
 
