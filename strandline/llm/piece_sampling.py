@@ -23,7 +23,7 @@ Repeated rows give equal samples. Null keys are allowed. Empty table: empty resu
 
 from __future__ import annotations
 
-import itertools
+import functools
 import re
 import zlib
 
@@ -76,6 +76,7 @@ class Pieces:
         for s, i in ends.items():
             self.end[s] = i
         self.longest = max(map(len, texts))
+        self._table(states)
         raw = [b""] * n
         for i, t in zip(own, texts, strict=True):
             raw[i] = t.encode()
@@ -84,6 +85,40 @@ class Pieces:
         self.size = np.array([len(x) for x in raw], np.int64)
         self.at, self.bytes = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(raw), np.uint8)
 
+    def _table(self, states: int) -> None:
+        """The trie with rows of children laid over each other: that of state s by class c is to at base[s] + c, if own says s there."""
+        state, char = self.keys >> 21, self.keys & ((1 << 21) - 1)
+        chars, c = np.unique(char, return_inverse=True)
+        c += 1  # class 0 is of characters in no piece
+        self.classes = np.zeros(0x110000, np.int32)
+        self.classes[chars] = np.arange(1, len(chars) + 1)
+        first = np.flatnonzero(np.append(True, state[1:] != state[:-1])) if len(state) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(state)))
+        self.base = np.zeros(states, np.int32)
+        used, most = np.zeros(2 * len(chars) + 2 * len(state) + 4096, bool), len(chars) + 1
+        b, last = 0, 0
+        for g in np.argsort(-size, kind="stable").tolist():
+            if size[g] == 1:
+                break
+            own, b, last = c[first[g] : first[g] + size[g]], b if size[g] == last else 0, size[g]  # of one size, each after the one before
+            while True:
+                if b + most + 64 > len(used):
+                    used = np.concatenate([used, np.zeros(len(used), bool)])
+                free = np.flatnonzero(~used[np.arange(b, b + 64)[:, None] + own].any(1))
+                if len(free):
+                    break
+                b += 64
+            b += int(free[0])
+            used[b + own] = True
+            self.base[state[first[g]]] = b
+        alone = first[size == 1]
+        used = np.concatenate([used, np.zeros(len(alone) + most, bool)])
+        spots = most + np.flatnonzero(~used[most:])[: len(alone)]
+        self.base[state[alone]] = spots - c[alone]
+        at = self.base[state] + c
+        self.own, self.over = np.full(int(self.base.max()) + most + 1, -1, np.int32), np.zeros(int(self.base.max()) + most + 1, np.int32)
+        self.own[at], self.over[at] = state, self.to
+
     def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
         return self.bytes[ranges(self.at[ids], self.size[ids])]
 
@@ -97,70 +132,117 @@ class Pieces:
         norm = SPACE + text.replace(" ", SPACE)
         return [norm] if self.whole else _UNITS.findall(norm)
 
+    def cut(self, texts) -> tuple:
+        """The units of an Arrow array of texts as one Arrow array, spaces not yet U+2581, and their number in each text."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        raw, start, end = text_buffers(pc.replace_substring(pc.fill_null(texts, ""), SPACE, " "))
+        size = end - start
+        full = size > 0
+        stop = np.cumsum(size + full)
+        begin = (stop - size - full)[full]
+        data = np.full(int(stop[-1]) if len(stop) else 0, 32, np.uint8)
+        body = np.ones(len(data), bool)
+        body[begin] = False
+        if len(begin):
+            data[body] = raw[start[0] : end[-1]]
+        head = np.zeros(len(data), bool)
+        if not self.whole and len(data):
+            space, line = data == 32, data == 10
+            head |= line
+            head[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+        head[begin] = True
+        at = np.append(np.flatnonzero(head), len(data))
+        number = np.diff(np.searchsorted(at[:-1], np.append(0, stop)))
+        return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)), number
+
+
+@functools.cache
+def _pieces(path: str) -> Pieces:
+    """The vocabulary of a model's file, read once by a worker."""
+    return Pieces(path)
+
 
 class Lattice:
-    """Lattices of distinct words: arcs by node, with the chance of each arc given its node."""
-
-    def __init__(self, pieces: Pieces, words: list[str]):
-        size = np.array([len(w) for w in words], np.int64)
-        cp = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        stop = np.cumsum(size)
-        self.start, total = stop - size, len(cp)  # node i is the position before character i; a word's last node is its stop
-        end = np.repeat(stop, size)
-        self.end = end
-        at, state = np.arange(total), np.zeros(total, np.int64)
-        arcs = []
-        for n in range(1, pieces.longest + 1):
-            key = (state << 21) | cp[at + n - 1]
-            k = np.minimum(np.searchsorted(pieces.keys, key), len(pieces.keys) - 1)
-            ok = pieces.keys[k] == key
-            at, state = at[ok], pieces.to[k[ok]]
-            if not len(at):
-                break
-            piece = pieces.end[state]
-            full = piece >= 0
-            arcs.append((at[full].astype(np.int32), np.full(int(full.sum()), n, np.int8), piece[full].astype(np.int32)))
-            more = at + n < end[at]
-            at, state = at[more], state[more]
+    """Lattices of distinct words: arcs by node, with the chance of each arc given its node.
+
+    A node is the place before a character. Nodes are in order of their distance from the word's end, in each distance the
+    longest word first, so all that a distance needs for its sums lies together; the node behind every word is `stop`.
+    """
+
+    def __init__(self, pieces: Pieces, words):
+        import pyarrow.compute as pc
+
+        raw, begin, end = text_buffers(words)
+        cp = np.frombuffer((raw[begin[0] : end[-1]].tobytes() if len(words) else b"").decode().encode("utf-32-le"), np.uint32).astype(np.int32)
+        cp[cp == 32] = ord(SPACE)
+        size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        total = self.stop = len(cp)
+        far = int(size.max()) if total else 0
+        wide = np.append(len(size), len(size) - np.cumsum(np.bincount(size, minlength=far + 1))[:-1]) if total else np.zeros(1, np.int64)  # words of at least so many characters
+        off = np.concatenate([[0, 0], np.cumsum(wide[1:])])  # first node of a distance
+        rank = np.empty(len(size), np.int64)
+        rank[np.argsort(-size, kind="stable")] = np.arange(len(size))
+        self.start = off[size] + rank
+        node = off[np.repeat(np.cumsum(size), size) - np.arange(total)] + np.repeat(rank, size)
+        char = np.full(total + 1, -1, np.int32)
+        char[node] = cp
+        after = np.full(total + 1, total, np.int32)
+        if far > 1:
+            after[off[2] : total] = np.arange(off[2], total) - np.repeat(wide[1:far], wide[2:])
+        group = np.append(pieces.classes[char[:total]], 0).astype(np.int32)
+        del cp, node
+        # Pieces that begin at each node, shorter ones first.
+        arcs, count = [], np.zeros(total, np.int32)
+        state = np.where(pieces.own[pieces.base[0] + group[:total]] == 0, pieces.over[pieces.base[0] + group[:total]], 0)
+        frm = np.flatnonzero(state).astype(np.int32)
+        state, at = state[frm], after[frm]
+        ends = pieces.end.astype(np.int32)
+        while len(frm):
+            piece = ends[state]
+            full = np.flatnonzero(piece >= 0)
+            own = frm[full]
+            arcs.append((own, count[own], at[full], piece[full]))
+            count[own] += 1
+            slot = pieces.base[state] + group[at]
+            go = np.flatnonzero(pieces.own[slot] == state)
+            frm, state, at = frm[go], pieces.over[slot[go]], after[at[go]]
         covered = np.zeros(total, bool)
-        if arcs:
-            covered[arcs[0][0]] = True
+        covered[arcs[0][0] if arcs else slice(0)] = True
         bare = np.flatnonzero(~covered)
         if len(bare):
-            arcs.append((bare.astype(np.int32), np.ones(len(bare), np.int8), (-1 - cp[bare]).astype(np.int32)))
-        frm, n, piece = (np.concatenate(x) for x in zip(*arcs, strict=True)) if arcs else (np.zeros(0, np.int32),) * 3
-        del arcs, at, state
-        order = np.argsort(frm, kind="stable").astype(np.int32)
-        self.frm, self.n, self.piece = frm[order], n[order], piece[order]
-        del frm, n, piece, order
-        self.first = np.searchsorted(self.frm, np.arange(total + 1))
-        logp = np.where(self.piece >= 0, pieces.logp[np.maximum(self.piece, 0)], 0.0)
-        spelt = self.piece < 0
-        if spelt.any():
+            arcs.append((bare, count[bare], after[bare], -1 - char[bare]))
+            count[bare] += 1
+        self.degree = count.astype(np.int64)
+        self.first = np.append(0, np.cumsum(self.degree))
+        n_arcs = int(self.first[-1])
+        self.goal, self.piece = np.empty(n_arcs, np.int32), np.empty(n_arcs, np.int32)
+        for own, turn, goal, piece in arcs:
+            to = self.first[own] + turn
+            self.goal[to], self.piece[to] = goal, piece
+        del arcs, group, after
+        self.frm = np.repeat(np.arange(total, dtype=np.int32), self.degree)
+        logp = pieces.logp[np.maximum(self.piece, 0)]
+        spelt = np.flatnonzero(self.piece < 0)
+        if len(spelt):
             c = -1 - self.piece[spelt]
-            n_bytes = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
-            logp[spelt] = n_bytes * pieces.logp.min()
-        # Backward sums, nodes in order of their distance from the word's end.
+            logp[spelt] = (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)) * pieces.logp.min()
+        # Backward sums, one distance from the end after the other.
         back = np.zeros(total + 1)
-        left = (end - np.arange(total)) if total else np.zeros(0, np.int64)
-        arc_left = left[self.frm].astype(np.int32)
-        by = np.argsort(arc_left, kind="stable").astype(np.int32)
-        edge = np.searchsorted(arc_left[by], np.arange(1, int(left.max()) + 2 if total else 1))
-        goal = self.frm + self.n
-        last = goal == end[self.frm] if total else np.zeros(0, bool)
-        for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            own = by[a:z]
-            v = logp[own] + np.where(last[own], 0.0, back[goal[own]])
-            f = self.frm[own]
-            head = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
+        self.logc, self.upto = np.empty(n_arcs), np.empty(n_arcs)  # log chance of an arc at its node; chances up to it
+        for x, y in zip(off[1:-1].tolist(), off[2:].tolist(), strict=True):
+            a, z = int(self.first[x]), int(self.first[y])
+            head, degree = self.first[x:y] - a, self.degree[x:y]
+            v = logp[a:z] + back[self.goal[a:z]]
             top = np.maximum.reduceat(v, head)
-            s = np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.append(head, len(v))))), head)
-            back[f[head]] = top + np.log(s)
-        self.logc = logp + np.where(last, 0.0, back[goal % (total + 1)]) - back[self.frm]  # log chance of the arc at its node
-        del logp, back, by, arc_left, goal, last
-        run = np.cumsum(np.exp(self.logc))
-        self.upto = run - np.concatenate([np.zeros(1), run])[self.first[self.frm]]
-        self.degree = np.diff(np.append(self.first[:total], len(self.frm)))
+            chance = np.exp(v - np.repeat(top, degree))
+            s = np.add.reduceat(chance, head)
+            back[x:y] = top + np.log(s)
+            self.logc[a:z] = v - np.repeat(back[x:y], degree)
+            chance /= np.repeat(s, degree)
+            run = np.cumsum(chance)
+            self.upto[a:z] = run - np.repeat(run[head] - chance[head], degree)
 
     def p(self, arcs: np.ndarray) -> np.ndarray:
         return np.exp(self.logc[arcs])
@@ -207,8 +289,8 @@ def _walk(lattice: Lattice, node: np.ndarray, key: np.ndarray, place: np.ndarray
     while len(live):
         arc = lattice.choose(at, _noise(key[live], sample, place[live], 0, t))
         steps.append((live, arc))
-        nxt = at + lattice.n[arc]
-        go = nxt < lattice.end[at]
+        nxt = lattice.goal[arc]
+        go = nxt < lattice.stop
         live, at, t = live[go], nxt[go], t + 1
     count = np.zeros(len(node), np.int64)
     for own, _ in steps:
@@ -224,16 +306,15 @@ def _walk(lattice: Lattice, node: np.ndarray, key: np.ndarray, place: np.ndarray
 PART_WORDS = 40_000
 
 
-def sample_slice(pieces: Pieces, texts: list[str], keys: np.ndarray, k: int):
-    """For each text its samples in order: [(ids, log probability, perturbed value, inclusion score)]."""
+def sample_slice(pieces: Pieces, texts, keys: np.ndarray, k: int):
+    """For each text (a list or an Arrow array) its samples in order: [(ids, log probability, perturbed value, inclusion score)]."""
     import pyarrow as pa
 
-    units = [pieces.units(t) for t in texts]
-    n_units = np.array([len(x) for x in units], np.int64)
-    coded = pa.array(itertools.chain.from_iterable(units), pa.string()).dictionary_encode()
+    units, n_units = pieces.cut(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+    coded = units.dictionary_encode()
     del units
     occ = coded.indices.to_numpy(zero_copy_only=False)
-    lattice = Lattice(pieces, coded.dictionary.to_pylist())
+    lattice = Lattice(pieces, coded.dictionary)
     upto, out = np.cumsum(n_units), []
     for i, j in slices(upto - n_units, upto, PART_WORDS):
         out += _sample_part(pieces, lattice, occ[upto[i] - n_units[i] : upto[j - 1]].astype(np.int64), n_units[i:j], keys[i:j], k)
@@ -273,16 +354,19 @@ def _sample_part(pieces: Pieces, lattice: Lattice, occ: np.ndarray, n_units: np.
         for x in open_.tolist():
             p, g = paths[which[x]], rests[which[x]]
             a = int(p.first[x])
-            s = int(np.argmax(g[a : a + p.count[x]]))
+            turn_step[x] = int(np.argmax(g[a : a + p.count[x]]))
+        noise = _noise(keys[open_], r, turn_step[open_], 2)
+        for x, u in zip(open_.tolist(), noise.tolist(), strict=True):
+            p, s = paths[which[x]], int(turn_step[x])
+            a = int(p.first[x])
             here = int(lattice.frm[p.arc[a + s]])
             choices = np.arange(lattice.first[here], lattice.first[here] + lattice.degree[here])
             prefix = p.arc[a : a + s]
             taken = {int(q.arc[q.first[x] + s]) for q in paths if q.count[x] > s and np.array_equal(q.arc[q.first[x] : q.first[x] + s], prefix) and lattice.frm[q.arc[q.first[x] + s]] == here}
             choices = np.array([c for c in choices.tolist() if c not in taken])
             chance = np.cumsum(lattice.p(choices))
-            u = float(_noise(keys[x : x + 1], r, np.array([s]), 2)[0])
             pick = int(min(np.searchsorted(chance, u * chance[-1]), len(choices) - 1))
-            turn[x], turn_occ[x], turn_step[x] = choices[pick], p.occ[a + s], s
+            turn[x], turn_occ[x] = choices[pick], p.occ[a + s]
             pre_arcs[x], pre_count[x] = prefix, s
             remain = float(chance[-1] - lattice.p(choices[pick]))
             if len(choices) > 1 and remain > 0:
@@ -290,8 +374,8 @@ def _sample_part(pieces: Pieces, lattice: Lattice, occ: np.ndarray, n_units: np.
         if not len(open_):
             break
         # The rest of the word after the turn, and all words behind it, anew.
-        went = lattice.frm[turn[open_]] + lattice.n[turn[open_]]
-        part = went < lattice.end[lattice.frm[turn[open_]]]
+        went = lattice.goal[turn[open_]]
+        part = went < lattice.stop
         follow = ranges(turn_occ[open_] + 1, (unit_first + n_units)[open_] - turn_occ[open_] - 1)
         start = np.concatenate([went[part], lattice.start[occ[follow]]])
         who = np.concatenate([open_[part], of_text[follow]])
@@ -369,18 +453,23 @@ def sample_pieces(docs: DataFrame, model_path: str, k: int = SAMPLES, id_col: st
     def run(batches):
         import pyarrow as pa
 
-        pieces = Pieces(model_path)
+        pieces = _pieces(model_path)
         for batch in batches:
             _, start, end = text_buffers(batch.column(1))
             for i, j in slices(start, end, slice_bytes):
-                texts = [x or "" for x in batch.column(1).slice(i, j - i).to_pylist()]
+                texts = batch.column(1).slice(i, j - i)
                 keys = mix(batch.column(2).slice(i, j - i).to_numpy(zero_copy_only=False).view(U))
                 found = sample_slice(pieces, texts, keys, k)
-                rows = []
-                for x, (text, samples) in enumerate(zip(texts, found, strict=True)):
+                flat = np.concatenate([ids for samples in found for ids, *_ in samples]).astype("<u4")
+                coded, decoded = memoryview(flat.tobytes()), pieces.decode_bytes(flat).tobytes()
+                upto = np.append(0, np.cumsum(pieces.size[flat]))
+                rows, at = [], 0
+                for x, (text, samples) in enumerate(zip(texts.to_pylist(), found, strict=True)):
                     want = (SPACE + text.replace(" ", SPACE)).encode() if text else b""
                     for s, (ids, logp, value, included) in enumerate(samples):
-                        rows.append((x, s + 1, len(ids), logp, value, included, pieces.decode_bytes(ids).tobytes() == want, zlib.crc32(ids.astype("<u4").tobytes()), ids.tolist() if with_ids else None))
+                        to = at + len(ids)
+                        rows.append((x, s + 1, len(ids), logp, value, included, decoded[upto[at] : upto[to]] == want, zlib.crc32(coded[4 * at : 4 * to]), ids.tolist() if with_ids else None))
+                        at = to
                 cols = list(zip(*rows, strict=True))
                 kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64())
                 arrays = [batch.column(0).slice(i, j - i).take(pa.array(cols[0])), *[pa.array(c, kind) for c, kind in zip(cols[1:8], kinds, strict=True)]]

@@ -541,3 +541,41 @@ def test_normalisation_is_the_library_s(pieces):
     for t in ["abc  de\nf", "  x", "é ¿ \t漢", "🙂"]:
         assert "".join(pieces.units(t)) == sp.normalize(t)
         assert sp.decode(piece_sampling.sample_slice(pieces, [t], np.array([5], np.uint64), 1)[0][0][0].tolist()) == t
+
+
+def test_texts_are_cut_into_units_in_arrays(pieces):
+    import pyarrow as pa
+
+    texts = ["x", "", None, " ", "  a  b ", "\n\n a\nb \n", "a\u2581b \u2581", "é 漢字 🙂\t\x00", "no end "]
+    for column in (pa.array(texts), pa.array(["cut off", *texts, "\n"]).slice(1, len(texts)), pa.array(texts, pa.large_string()), pa.array([None, ""], pa.string()), pa.array([], pa.string())):
+        units, number = pieces.cut(column)
+        want = [pieces.units(t or "") for t in column.to_pylist()]
+        assert [u.replace(" ", "\u2581") for u in units.to_pylist()] == list(itertools.chain.from_iterable(want)) and number.tolist() == [len(u) for u in want]
+
+
+def test_lattices_of_words_of_many_lengths(pieces):
+    """Every arc leads over its piece; the chances of a node's arcs come to 1; sums are those of all segmentations."""
+    import pyarrow as pa
+
+    words = ["▁the", "x", "▁unhappily", "漢🙂é", "▁", "\n", "▁" + "ab" * 3000]
+    lattice = piece_sampling.Lattice(pieces, pa.array([w.replace("▁", " ") for w in words]))
+    assert lattice.stop == sum(map(len, words)) and len(set(lattice.start.tolist())) == len(words)
+    for w, at in zip(words, lattice.start.tolist(), strict=True):
+        nodes = [at]
+        for i, c in enumerate(w):
+            arcs = range(lattice.first[at], lattice.first[at] + lattice.degree[at])
+            assert np.exp(lattice.logc[arcs]).sum() == pytest.approx(1) and lattice.upto[arcs[-1]] == pytest.approx(1) and (lattice.frm[arcs] == at).all()
+            spelt = [bytes(pieces.decode_bytes(lattice.piece[[a]])).decode() if lattice.piece[a] >= 0 else c for a in arcs]
+            assert all(w.startswith(x, i) for x in spelt) and [len(x) for x in spelt] == sorted({len(x) for x in spelt})
+            if i + 1 < len(w):
+                (at,) = [lattice.goal[a] for a, x in zip(arcs, spelt, strict=True) if len(x) == 1]
+                nodes.append(int(at))
+        assert len(set(nodes)) == len(w)
+    for w in ("▁the", "▁unhappily"):
+        k = lattice.first[lattice.start[words.index(w)]]
+        total = sum(np.exp(p) for ids, p in segmentations(pieces, w).items() if ids[0] == lattice.piece[k])
+        assert np.exp(lattice.logc[k]) == pytest.approx(total)
+
+
+def test_a_worker_reads_a_vocabulary_once():
+    assert piece_sampling._pieces(piece_sampling.model_path()) is piece_sampling._pieces(piece_sampling.model_path())
