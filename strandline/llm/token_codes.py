@@ -32,6 +32,8 @@ from .common import buckets_for, col, ranges, slices, table, text_buffers, writt
 MAGIC, VERSION, BLOCK = b"SLDA", 1, 512
 #: Bytes of text that are tokenised at a time, tokens of a shard, and words whose ids a worker remembers.
 SLICE_BYTES, SHARD_TOKENS, MEMO_WORDS = 4 << 20, 1 << 20, 700_000
+#: Bytes of remembered words, which may be long, beyond which they are forgotten.
+MEMO_BYTES = 128 << 20
 #: Range partitions whose totals are broadcast.
 FEW_PARTS = 250_000
 #: The normaliser and the pattern of words for which ids of a text are those of its words, in order (fixed values
@@ -43,6 +45,8 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CUT = r"([0-9A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:])"
 #: Words that are not folded: with special tokens, or letters above U+00FF (H and a mark stay two where h and it are one).
 KEPT = r"<\||[^\x{00}-\x{FF}]"
+#: Words that WORD_PATTERN leaves whole, whatever stands around them, and how many of them are encoded as one text.
+PLAIN, JOINED = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+$", 512
 
 
 def by_words(settings: dict) -> bool:
@@ -146,35 +150,68 @@ class Tokens:
 
     Where the tokenizer's settings allow it (see by_words), the ids of each word are remembered: the ids
     of a text are those of its words, cut at ASCII white space and at CUT, which repeat, in order.
+    Plain words are encoded many in a text, as a call for each costs more than its ids; where the model marks the
+    last token of a word, each word's ids end there.
     """
 
     def __init__(self, path: str, memo: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo = Tokenizer.from_file(path), memo
-        self.by_words = by_words(json.loads(self.tokenizer.to_str()))
+        settings = json.loads(self.tokenizer.to_str())
+        self.by_words, mark = by_words(settings), settings["model"].get("end_of_word_suffix")
+        vocab = self.tokenizer.get_vocab() if self.by_words and mark else {}
+        self.last = np.zeros(max(vocab.values(), default=-1) + 1, bool)  # whether a token is the last of its word
+        self.last[[i for t, i in vocab.items() if t.endswith(mark)]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts, self.lengths = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        import pyarrow as pa
 
-    def words(self, words: list[str]) -> np.ndarray:
-        """The place of each word in starts and lengths, which point into flat."""
-        if len(self.known) > self.memo:
+        self.known = pa.array([], pa.string())
+        self.flat, self.starts, self.lengths = np.zeros(0, np.uint16), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(n.sum())), n
+
+    def plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """What encoded gives for words of PLAIN."""
+        ids, n = self.encoded([" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)])
+        stop = np.flatnonzero(self.last[ids]) + 1 if len(self.last) else np.zeros(0, np.int64)
+        # As many marks in each text as words, the last of them at its end.
+        upto = np.cumsum(n)
+        want = np.minimum(np.arange(1, len(n) + 1) * JOINED, len(words))
+        if len(stop) != len(words) or not np.array_equal(stop[want - 1], upto):
+            return self.encoded(words)
+        return ids, np.diff(np.append(0, stop))
+
+    def words(self, words) -> np.ndarray:
+        """The place of each word of an Arrow array of different words in starts and lengths, which point into flat."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(self.known) > self.memo or self.known.nbytes > MEMO_BYTES:
             self.forget()
-        known = self.known
-        new = [w for w in words if w not in known]
-        if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            got = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(n.sum()))
+        words = words.cast(pa.string())
+        at = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = words.take(pa.array(new))
+            plain = pc.match_substring_regex(fresh, PLAIN).to_numpy(zero_copy_only=False) if len(self.last) else np.zeros(len(new), bool)
+            order = np.argsort(~plain, kind="stable")
+            fresh, n_plain = fresh.take(pa.array(order)), int(plain.sum())
+            (got, n), (others, n_others) = self.plain(fresh.slice(0, n_plain).to_pylist()), self.encoded(fresh.slice(n_plain).to_pylist())
+            got, n = np.concatenate([got, others]), np.concatenate([n, n_others])
             kind = np.uint32 if len(got) and got.max() > 65535 else np.uint16
-            known.update(zip(new, range(len(self.starts), len(self.starts) + len(new))))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(n) - n])
-            self.lengths = np.concatenate([self.lengths, n])
+            at[new[order]] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, fresh])
+            self.starts = np.concatenate([self.starts, (len(self.flat) + np.cumsum(n) - n).astype(np.int32)])
+            self.lengths = np.concatenate([self.lengths, n.astype(np.int32)])
             self.flat = np.concatenate([self.flat, got.astype(kind)])
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return at
 
     def texts(self, column, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by end_id; number of ids of each)."""
@@ -182,9 +219,8 @@ class Tokens:
 
         column = pc.fill_null(column, "")
         if not self.by_words:
-            ids = [e.ids + [end_id] for e in self.tokenizer.encode_batch_fast(column.to_pylist(), add_special_tokens=False)]
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(n.sum())), n
+            ids, n = self.encoded(column.to_pylist())
+            return self.ended(ids, n, end_id)
         column = pc.replace_substring_regex(column, pattern=CUT, replacement=r"\1 \2")
         split = pc.ascii_split_whitespace(column)
         n_words = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -193,12 +229,16 @@ class Tokens:
         if len(words):
             folded = pc.if_else(pc.match_substring_regex(words, KEPT), words, pc.ascii_lower(words)).dictionary_encode()
             words, of = folded.dictionary, folded.indices.to_numpy(zero_copy_only=False)[of]
-        at = self.words(words.to_pylist())
-        start, lengths = (x[at][of] if len(of) else np.zeros(0, np.int64) for x in (self.starts, self.lengths))
+        at = self.words(words)
+        start, lengths = (x[at][of] if len(of) else np.zeros(0, np.int32) for x in (self.starts, self.lengths))
         ids = self.flat[ranges(start, lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         upto = ends[np.cumsum(n_words)] if len(n_words) else np.zeros(0, np.int64)
-        n = np.diff(np.concatenate([[0], upto]))
+        return self.ended(ids, np.diff(np.concatenate([[0], upto])), end_id)
+
+    @staticmethod
+    def ended(ids: np.ndarray, n: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """ids of texts, of which each has n, with end_id after each; number of ids of each then."""
         out = np.full(len(ids) + len(n), end_id, np.uint32)
         stay = np.ones(len(out), bool)
         stay[np.cumsum(n + 1) - 1] = False
